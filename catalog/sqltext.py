@@ -309,4 +309,5 @@ def with_views(body: str) -> str:
             text += "\n" + VIEWS[name]
     if not needed:
         return body
-    return "WITH " + ",\n".join(f"{name} AS ({VIEWS[name]})" for name in needed) + "\n" + body
+    views = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in needed)
+    return f"WITH {views},\n{body[5:]}" if body.startswith("WITH ") else f"WITH {views}\n{body}"
