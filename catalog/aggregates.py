@@ -213,7 +213,7 @@ _METRICS = (
 )
 
 
-@query("G10_portfolio_profitability", "WITH totals AS (SELECT count(*) AS n, " + _SUMS + " FROM priced) " + " UNION ALL ".join(
+@query("G10_portfolio_profitability", "WITH totals AS MATERIALIZED (SELECT count(*) AS n, " + _SUMS + " FROM priced) " + " UNION ALL ".join(
     f"SELECT '{name}' AS Metric, {r(expr, 'Value', 2)} FROM totals" for name, expr in _METRICS), 2)
 def _(v):
     return rollups.portfolio_profitability(v.priced)
@@ -345,13 +345,18 @@ def _edges(bins: int) -> str:
     return f"(hi - lo) / {bins}e0"
 
 
+def _bin(value: str, bins: int, test: str) -> str:
+    """Bin number as the count of inner edges on the low side of the value."""
+    return " + ".join(f"CASE WHEN lo + {i}e0 * ({_edges(bins)}) {test} {value} THEN 1 ELSE 0 END" for i in range(1, bins))
+
+
 def _heat(measure: str) -> str:
     return f"""WITH span AS (SELECT min(Recent_Avg_Speed) AS lo, max(Recent_Avg_Speed) AS hi, least(max(CAST(Recent_Harsh_Events AS INT)), 10) AS top FROM h_live),
-  cells AS (SELECT least(CAST(Recent_Harsh_Events AS INT), top) AS h, least(greatest(len(list_filter(range(1, 8), x -> lo + x * {_edges(8)} < Recent_Avg_Speed)), 0), 7) AS b,
+  cells AS (SELECT least(CAST(Recent_Harsh_Events AS INT), top) AS h, {_bin('Recent_Avg_Speed', 8, '<')} AS b,
     Calculated_Risk_Score AS s FROM h_live, span),
   grid AS (SELECT h, b FROM (SELECT unnest(range(0, top + 1)) AS h FROM span), (SELECT unnest(range(0, 8)) AS b))
-  SELECT CAST(g.h AS INT) AS Harsh_Capped, CAST(g.b AS INT) AS Speed_Bin, CAST(CAST(round_even(lo + g.b * {_edges(8)}, 0) AS INT) AS VARCHAR) || '-' ||
-    CAST(CAST(round_even(CASE WHEN g.b = 7 THEN hi ELSE lo + (g.b + 1) * {_edges(8)} END, 0) AS INT) AS VARCHAR) AS Speed_Label, {measure} AS Value
+  SELECT CAST(g.h AS INT) AS Harsh_Capped, CAST(g.b AS INT) AS Speed_Bin, CAST(CAST(round_even(lo + g.b * ({_edges(8)}), 0) AS INT) AS VARCHAR) || '-' ||
+    CAST(CAST(round_even(CASE WHEN g.b = 7 THEN hi ELSE lo + (g.b + 1) * ({_edges(8)}) END, 0) AS INT) AS VARCHAR) AS Speed_Label, {measure} AS Value
   FROM grid g LEFT JOIN cells c ON g.h = c.h AND g.b = c.b, span GROUP BY g.h, g.b, lo, hi"""
 
 
@@ -379,8 +384,8 @@ def _(v):
 
 
 @query("G26_histogram", f"""WITH span AS (SELECT min(Speed_kmh) AS lo, max(Speed_kmh) AS hi FROM history),
-  cells AS (SELECT least(len(list_filter(range(1, 30), x -> lo + x * {_edges(30)} <= Speed_kmh)), 29) AS b FROM history, span)
-  SELECT CAST(g.b AS INT) AS Bin, {r(f'((lo + g.b * {_edges(30)}) + (CASE WHEN g.b = 29 THEN hi ELSE lo + (g.b + 1) * {_edges(30)} END)) / 2e0', 'Centre')}, count(c.b) AS Count
+  cells AS (SELECT {_bin('Speed_kmh', 30, '<=')} AS b FROM history, span)
+  SELECT CAST(g.b AS INT) AS Bin, {r(f'((lo + g.b * ({_edges(30)})) + (CASE WHEN g.b = 29 THEN hi ELSE lo + (g.b + 1) * ({_edges(30)}) END)) / 2e0', 'Centre')}, count(c.b) AS Count
   FROM (SELECT unnest(range(0, 30)) AS b) g LEFT JOIN cells c ON g.b = c.b, span GROUP BY g.b, lo, hi""")
 def _(v):
     return behaviour.histogram(v.history, "Speed_kmh")
@@ -447,7 +452,7 @@ def _driver_sql(source: str, order: str, lookback: int | None, night: str) -> st
 _NIGHT = "CASE WHEN Time_of_Day IN ('Night', 'Late Night', 'Dawn') THEN 1 ELSE 0 END"
 _SUPPLY = ("(SELECT concat('S', CAST(l_suppkey AS VARCHAR)) AS Plate, l_shipdate AS Last_Update, l_orderkey, l_linenumber, "
            "CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_linestatus END AS City, CASE WHEN l_returnflag = 'R' THEN 'Parked' ELSE 'Driving' END AS Status, "
-           "l_quantity * 4e0 AS Speed_kmh, (l_orderkey * 7 % 160) / 1e1 - 8e0 AS Acceleration_mps2, CAST(l_orderkey * 13 % 100 AS DOUBLE) AS Engine_Load_pct, "
+           "l_quantity * 4e0 AS Speed_kmh, (l_orderkey * 7 % 128) / 8e0 - 8e0 AS Acceleration_mps2, CAST(l_orderkey * 13 % 100 AS DOUBLE) AS Engine_Load_pct, "
            "CAST(70 + l_orderkey * 11 % 45 AS DOUBLE) AS Coolant_Temp_C, CAST(l_orderkey * 17 % 60 AS DOUBLE) AS Trip_Distance_km, "
            "CAST(l_orderkey % 4 AS INT) AS Harsh_Brake_Count, CAST(l_linenumber % 3 AS INT) AS Harsh_Accel_Count, CAST(l_orderkey % 5 AS INT) AS Harsh_Corner_Count, "
            "CAST(l_linenumber % 2 AS INT) AS Night_Driving_Flag, CAST(CASE WHEN l_quantity > 2e1 THEN 1 ELSE 0 END AS INT) AS Speeding_Flag FROM lineitem)")

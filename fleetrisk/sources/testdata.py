@@ -1,7 +1,8 @@
 """Telemetry views over the star-schema test tables.
 
 The definitions are plain SQL expressions that mean the same in every ANSI engine:
-integer remainders, CASE, and double literals in exponent form.
+integer remainders, CASE, and double literals in exponent form. Speeds and accelerations
+are whole quarters and eighths, so that their sums are exact in any order.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ HISTORY = (
     ("event_id", "event_id"),
     ("Plate", "concat('V', CAST(user_id AS STRING))"),
     ("Last_Update", "ts"),
-    ("Speed_kmh", "value"),
+    ("Speed_kmh", "floor(value * 4e0) / 4e0"),
     ("Status", "CASE WHEN event_type = 'error' THEN 'Parked' ELSE 'Driving' END"),
     ("City", _by_remainder("user_id", CITIES, "'Unknown'")),
     ("Road_Type", _by_remainder("event_id", _ROADS, "NULL")),
     ("Weather", _by_remainder("event_id", _WEATHER, "NULL")),
-    ("Acceleration_mps2", "(event_id * 7 % 160) / 1e1 - 8e0"),
+    ("Acceleration_mps2", "(event_id * 7 % 128) / 8e0 - 8e0"),
     ("RPM", "CAST(700 + event_id * 37 % 4000 AS DOUBLE)"),
     ("Engine_Load_pct", "CAST(event_id * 13 % 100 AS DOUBLE)"),
     ("Coolant_Temp_C", "CAST(70 + event_id * 11 % 45 AS DOUBLE)"),
@@ -98,7 +99,7 @@ def supply_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('S', CAST(l_suppkey AS STRING)) AS Plate", "l_shipdate AS Last_Update",
         "l_orderkey", "l_linenumber", "CASE WHEN l_returnflag = 'A' THEN NULL ELSE l_linestatus END AS City",
         "CASE WHEN l_returnflag = 'R' THEN 'Parked' ELSE 'Driving' END AS Status",
-        "l_quantity * 4e0 AS Speed_kmh", "(l_orderkey * 7 % 160) / 1e1 - 8e0 AS Acceleration_mps2",
+        "l_quantity * 4e0 AS Speed_kmh", "(l_orderkey * 7 % 128) / 8e0 - 8e0 AS Acceleration_mps2",
         "CAST(l_orderkey * 13 % 100 AS DOUBLE) AS Engine_Load_pct",
         "CAST(70 + l_orderkey * 11 % 45 AS DOUBLE) AS Coolant_Temp_C",
         "CAST(l_orderkey * 17 % 60 AS DOUBLE) AS Trip_Distance_km",
