@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ _FRACTIONAL = (T.DoubleType, T.FloatType)
 
 
 def has(df: DataFrame, name: str) -> bool:
-    return name in df.columns
+    return name in df.schema.names
 
 
 def _numeric(df: DataFrame, name: str) -> Column:
@@ -83,10 +84,14 @@ def bound(value: Column, low: float | None = None, high: float | None = None) ->
     return value
 
 
+@lru_cache(maxsize=256)
+def _literal_map(pairs: tuple) -> Column:
+    return F.create_map(*[F.lit(item) for pair in pairs for item in pair])
+
+
 def lookup(table: Mapping, key: Column, default=None) -> Column:
     """Dictionary lookup by a literal map, folded into the plan."""
-    pairs = [F.lit(item) for pair in table.items() for item in pair]
-    found = F.try_element_at(F.create_map(*pairs), key)
+    found = F.try_element_at(_literal_map(tuple(table.items())), key)
     return found if default is None else F.coalesce(found, F.lit(default))
 
 
@@ -100,10 +105,11 @@ def bin_score(value: Column, bins: Sequence[tuple[float, float]], missing: float
     below = missing if below is None else below
     chain = None
     for edge, risk in reversed(bins):
-        test = value >= F.lit(edge)
-        chain = F.when(test, F.lit(risk)) if chain is None else chain.when(test, F.lit(risk))
-    chain = chain.when(value.isNull(), F.lit(float(missing)))
-    return chain.otherwise(F.lit(float(below)))
+        test = value >= edge
+        chain = F.when(test, risk) if chain is None else chain.when(test, risk)
+    if missing != below:
+        chain = chain.when(value.isNull(), float(missing))
+    return chain.otherwise(float(below))
 
 
 def half_even(value: Column, digits: int) -> Column:
@@ -120,7 +126,7 @@ def round_columns(df: DataFrame, digits: Mapping[str, int]) -> DataFrame:
 
 def existing(df: DataFrame, names: Iterable[str]) -> list[str]:
     """The names that the frame has, in the order asked for."""
-    have = set(df.columns)
+    have = set(df.schema.names)
     return [name for name in names if name in have]
 
 

@@ -42,7 +42,7 @@ def behaviour_by_type(df: DataFrame, key: str = "Type", metrics: Sequence[str] =
     medians = column_quantiles(rows, metrics, {"median": 0.5}, [key])
     medians = medians.toDF(*[c.replace("__median", "_median") for c in medians.columns])
     out = moments.join(medians, key, "left")
-    return round_columns(out, {c: 2 for c in out.columns if c != key})
+    return round_columns(out, {c: 2 for c in out.schema.names if c != key})
 
 
 def harsh_totals(df: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def describe(df: DataFrame, column: str) -> DataFrame:
                    F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
     quartiles = scalar_row(grouped_quantiles(rows, "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75}))
     out = row.withColumn("__q", quartiles).select("*", "__q.*").drop("__q")
-    return round_columns(out, {c: 2 for c in out.columns})
+    return round_columns(out, {c: 2 for c in out.schema.names})
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = K.CORRELATION_COLUMNS) -> DataFrame:

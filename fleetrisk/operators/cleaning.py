@@ -41,7 +41,7 @@ def fill_plates(df: DataFrame, order_by: str | None = None) -> DataFrame:
 
 def clean_portfolio(df: DataFrame, order_by: str | None = None, plates_known: bool = False) -> DataFrame:
     """Trimmed names, no unnamed columns, defaults for the keys, floored base price."""
-    names = [c.strip() for c in df.columns]
+    names = [c.strip() for c in df.schema.names]
     df = df.toDF(*names)
     df = df.select(*[F.col(f"`{c}`") for c in names if not c.startswith("Unnamed:")])
     price = num(df, "Base_Price_USD") if has(df, "Base_Price_USD") else num(df, "Vehicle_Value_USD")
@@ -55,5 +55,5 @@ def clean_portfolio(df: DataFrame, order_by: str | None = None, plates_known: bo
 
 def select_existing(df: DataFrame, names) -> DataFrame:
     """Projection to the listed columns that the frame has."""
-    have = set(df.columns)
+    have = set(df.schema.names)
     return df.select(*[c for c in names if c in have])

@@ -137,7 +137,7 @@ def driver_statistics(history: DataFrame, key: str = "Plate", ts: str = "Last_Up
         F.max("_coolant").alias("max_coolant_temp_c"),
     )
     kept = [key, "observation_count", "window_start", "window_end", "latest_city", "latest_status"]
-    return stats.select(*kept, *[half_even(F.col(c), 4).alias(c) for c in stats.columns if c not in kept])
+    return stats.select(*kept, *[half_even(F.col(c), 4).alias(c) for c in stats.schema.names if c not in kept])
 
 
 _MERGE = {"sum": F.sum, "count": F.sum, "max": F.max, "min": F.min}

@@ -79,7 +79,7 @@ def fresh_rows(df: DataFrame, as_of: datetime, max_age_seconds: float, column: s
 
 def sample_rows(df: DataFrame, n: int, seed: int = 0, key: str = "Plate") -> DataFrame:
     """Exactly ``n`` rows, chosen by a seeded hash of the key and content."""
-    order = F.xxhash64(F.lit(seed), F.col(key), *[c for c in df.columns if c != key])
+    order = F.xxhash64(F.lit(seed), F.col(key), *[c for c in df.schema.names if c != key])
     return df.orderBy(order).limit(n)
 
 

@@ -43,9 +43,9 @@ def overlay(df: DataFrame, live: DataFrame, columns: Iterable[str], order: Seque
         F.col(key).alias("__key"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__live_{c}") for c in columns])
     joined = df.join(source, df[key] == source["__key"], "left")
     hit = F.coalesce(F.col("__hit"), F.lit(False))
-    have = set(df.columns)
+    have = set(df.schema.names)
     out = [F.when(hit, F.col(f"__live_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)
-           for c in df.columns]
+           for c in df.schema.names]
     out += [F.col(f"__live_{c}").alias(c) for c in columns if c not in have]
     return joined.select(*out)
 
@@ -61,7 +61,7 @@ def refresh_live_columns(df: DataFrame, live: DataFrame, order: Sequence[str | C
 
 def sync_with_raw(risk_table: DataFrame, raw: DataFrame, order: Sequence[str | Column] | None = None) -> DataFrame:
     """Raw values for every column that both tables share."""
-    return overlay(risk_table, raw, [c for c in risk_table.columns if has(raw, c)], order)
+    return overlay(risk_table, raw, [c for c in risk_table.schema.names if has(raw, c)], order)
 
 
 def city_centroids(df: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def quote(df: DataFrame, as_of: datetime, **model) -> DataFrame:
 def add_zig_columns(df: DataFrame, rate: float = K.USD_TO_ZIG_RATE, only_missing: bool = False) -> DataFrame:
     """Every ``*_USD`` column gains its ``*_ZIG`` twin."""
     cols: dict[str, Column] = {}
-    for name in df.columns:
+    for name in df.schema.names:
         if name.endswith("_USD"):
             twin = name.replace("_USD", "_ZIG")
             if not (only_missing and has(df, twin)):

@@ -132,7 +132,7 @@ def column_quantiles(df: DataFrame, columns: Sequence[str], probs: Mapping[str,
 
 def scalar_row(df: DataFrame) -> Column:
     """A one-row frame as a struct that other plans read as a scalar subquery."""
-    names = df.columns
+    names = df.schema.names
     return df.agg(F.first(F.struct(*names)).alias("row")).scalar()
 
 
@@ -150,7 +150,7 @@ def dense_numbers(df: DataFrame, name: str, order_by: str | None = None, chunk:
     chunks at the end. Order: by ``order_by`` (numeric or time, best near-unique), then
     by content hash.
     """
-    cols = df.columns
+    cols = df.schema.names
     counted = df.withColumn("__hash", F.xxhash64(*cols)).groupBy(*cols, "__hash").agg(
         F.count(F.lit(1)).alias("n"))
     if order_by is None:

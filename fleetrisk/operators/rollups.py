@@ -168,7 +168,7 @@ def city_analytics(df: DataFrame) -> DataFrame:
 
     working = df.select(
         text(df, "City", "Unknown").alias("City"),
-        (text(df, "Plate") if has(df, "Plate") else F.xxhash64(*df.columns).cast("string")).alias("Plate"),
+        (text(df, "Plate") if has(df, "Plate") else F.xxhash64(*df.schema.names).cast("string")).alias("Plate"),
         bound(score, 0.0, 1.0).alias("risk"), bound(premium, low=0.0).alias("usd"),
         bound(zig, low=0.0).alias("zig"),
         bound(with_fallback_mean("Expected_Claim_USD", "Expected_Claim"), low=0.0).alias("claim"),
@@ -196,7 +196,7 @@ def city_analytics(df: DataFrame) -> DataFrame:
         "Risk_Level": risk.band(F.coalesce(F.col("Avg_Risk_Score"), F.lit(0.0))),
         "Vehicle_Share_Pct": F.col("Vehicle_Count") / F.greatest(fleet, F.lit(1)) * F.lit(100.0),
     })
-    money = {c: 2 for c in out.columns if c.startswith(("Avg_Monthly", "Total_"))}
+    money = {c: 2 for c in out.schema.names if c.startswith(("Avg_Monthly", "Total_"))}
     out = round_columns(out, {**money, "Avg_Risk_Score": 3, "Avg_Speed_kmh": 1, "Vehicle_Share_Pct": 1,
                               "lat": 5, "lon": 5})
     return out.orderBy(F.desc("Avg_Risk_Score"), F.desc("Total_Monthly_Premium_USD"), F.asc("City"))
@@ -414,8 +414,8 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
     The sum keeps repeated rows from cancelling out, as they would under ``xor`` alone.
     """
-    row = F.xxhash64(*df.columns)
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.lit(len(df.columns)).alias("column_count"),
+    row = F.xxhash64(*df.schema.names)
+    return df.agg(F.count(F.lit(1)).alias("row_count"), F.lit(len(df.schema.names)).alias("column_count"),
                   F.coalesce(F.bit_xor(row), F.lit(0)).alias("hash_xor"),
                   F.coalesce(F.sum(F.pmod(row, F.lit(2147483647))), F.lit(0)).alias("hash_sum"))
 

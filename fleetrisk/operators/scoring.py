@@ -152,7 +152,7 @@ def ensure_model_scores(
     """
     if has(df, "Calculated_Risk_Score") and has(df, "LightGBM_Risk_Score"):
         return df
-    if cached is not None and "LightGBM_Risk_Score" in cached.columns and has(df, "Plate"):
+    if cached is not None and "LightGBM_Risk_Score" in cached.schema.names and has(df, "Plate"):
         from fleetrisk.operators.joins import score_lookup
 
         scored = score_lookup(df, cached)

@@ -90,7 +90,7 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     fleet = table(spark, sf_dir, "customer").selectExpr(*[f"{sql} AS {name}" for name, sql in PORTFOLIO])
     latest = history(spark, sf_dir).groupBy("Plate").agg(
         F.max_by(F.struct(*TELEMETRY), F.struct("Last_Update", "event_id")).alias("seen"))
-    return fleet.join(latest, "Plate", "left").select(*fleet.columns, "seen.*")
+    return fleet.join(latest, "Plate", "left").select(*fleet.schema.names, "seen.*")
 
 
 def supply_history(spark: SparkSession, sf_dir: str) -> DataFrame:
