@@ -571,3 +571,14 @@ def _(v):
                    {"Monthly_Premium_USD": 2, "Underwriting_Profit_USD": 2})
 
 
+
+
+@query("Q1_portfolio_bundle", f"""SELECT Plate, Risk_Band, Status, {r('LightGBM_Risk_Score')}, {r('Calculated_Risk_Score')}, {r('Monthly_Premium_USD', None, 2)},
+  {r('Expected_Claim_USD', None, 2)}, {r('Underwriting_Profit_USD', None, 2)}, 'portfolio' AS Analysis_Source FROM u_priced""")
+def _(v):
+    from catalog.registry import settled
+    from fleetrisk.plans.portfolio import analyse_portfolio
+    bundle = analyse_portfolio(v.portfolio, AS_OF, persist=False, plates_known=True)
+    money = ("Monthly_Premium_USD", "Expected_Claim_USD", "Underwriting_Profit_USD")
+    out = bundle["analysis"].select("Plate", "Risk_Band", "Status", "LightGBM_Risk_Score", "Calculated_Risk_Score", *money, "Analysis_Source")
+    return settled(out, dict.fromkeys(money, 2))

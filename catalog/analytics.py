@@ -298,6 +298,23 @@ def _(v):
     return modeling.score_features(model, test).select("event_id", "Risk_Label", "Predicted_Risk_Score", "Predicted_Risk_Label")
 
 
+@query("M20_smallest_p_values")
+def _(v):
+    from fleetrisk.plans.training import smallest_p_values
+    sample = settle(_sample(v), "sample")
+    return smallest_p_values({
+        "normality": statistics.normality(sample, _MEASURES), "mann_whitney": statistics.mann_whitney(sample, _MEASURES),
+        "chi_square": statistics.chi_square(sample, ("City", "Weather")), "spearman": statistics.spearman(sample, "p", _MEASURES),
+        "ks": statistics.ks_two_sample(sample, "p", "Risk_Label")})
+
+
+@query("Q5_training_metrics")
+def _(v):
+    from fleetrisk.plans.training import train
+    slim = settle(v.h_prepared.drop("Make", "Model", "Class", "Type", "Usage"), "prepared")
+    return train(slim, rounds=5, depth=3)["metrics"]
+
+
 @query("M9_permutation_importance")
 def _(v):
     encoder, encoded = _encoded(v)

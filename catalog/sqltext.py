@@ -287,6 +287,17 @@ def _views() -> dict[str, str]:
     views.update(_live("live", "prepared"))
     views.update(_priced("priced", "live"))
     views.update(_imputed("assessed", "priced"))
+    # An uploaded portfolio has no engineered columns, so most components take their defaults.
+    views["u_scored"] = f"""
+SELECT p.* REPLACE (coalesce(Status, 'Driving') AS Status), 0e0 AS Vehicle_Age_Years, 0.0675e0 AS LightGBM_Risk_Score,
+  0.30e0 * 0.04e0 + 0.25e0 * 0.085e0 + 0.10e0 * {case_map('Weather', K.WEATHER_RISK, 0.30)}
+    + 0.10e0 * least(coalesce(Trip_Distance_km, 0e0) / 1e2, 1e0)
+    + 0.10e0 * (0.5e0 * {case_map('Road_Type', K.ROAD_RISK, 0.40)} + 0.5e0 * {case_map('Time_of_Day', K.TIME_RISK, 0.30)})
+    AS Overall_Risk FROM portfolio p"""
+    views["u_live"] = f"""
+SELECT q.*, {band('Calculated_Risk_Score')} AS Risk_Band, 0e0 AS Expected_Claim FROM (
+  SELECT s.*, {surcharged('Overall_Risk')} AS Calculated_Risk_Score FROM u_scored s) q"""
+    views.update(_priced("u_priced", "u_live"))
     return views
 
 

@@ -48,8 +48,8 @@ def fraud_table(df: DataFrame) -> DataFrame:
     flagged = fraud_flags(df).filter("Fraud_Flag = 1")
     critical = (num(df, "Speed_kmh") > 180) | (F.abs(num(df, "Acceleration_mps2")) > 7)
     columns = ("Plate", "Speed_kmh", "Acceleration_mps2", "Battery_V", "Trip_Distance_km")
-    return flagged.withColumn("Severity", F.when(critical, "Critical").otherwise("Medium")).select(
-        *columns, "Severity")
+    flagged = flagged.withColumn("Severity", F.when(critical, "Critical").otherwise("Medium"))
+    return select_existing(flagged, (*columns, "Severity"))
 
 
 def fraud_table_or_status(df: DataFrame) -> DataFrame:

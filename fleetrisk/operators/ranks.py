@@ -94,17 +94,17 @@ def grouped_quantiles(df: DataFrame, value: str, probs: Mapping[str, float],
     keys = list(keys)
 
     def wanted(offsets: DataFrame) -> Column:
-        start, size = F.col("n__off"), F.col("n")
+        start, size = F.col("__n__off"), F.col("__n")
         test = F.lit(False)
-        for pos in _positions(probs, F.col("n_total")).values():
+        for pos in _positions(probs, F.col("__n_total")).values():
             test = test | ((start <= F.ceil(pos)) & (F.floor(pos) < start + size))
         return test
 
-    placed = prefix_sums(df.select(*keys, value), value, {"n": F.lit(1)}, keys, keep=wanted)
+    placed = prefix_sums(df.select(*keys, value), value, {"__n": F.lit(1)}, keys, keep=wanted)
     aggs = []
-    for alias, pos in _positions(probs, F.col("n_total")).items():
+    for alias, pos in _positions(probs, F.col("__n_total")).items():
         for tag, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            inside = (F.col("n_before") <= rank) & (rank < F.col("n_before") + F.col("n"))
+            inside = (F.col("__n_before") <= rank) & (rank < F.col("__n_before") + F.col("__n"))
             aggs.append(F.max(F.when(inside, F.col(value))).alias(f"{alias}__{tag}"))
         aggs.append(F.max(pos - F.floor(pos)).alias(f"{alias}__w"))
     found = placed.groupBy(*keys).agg(*aggs)
@@ -152,7 +152,7 @@ def dense_numbers(df: DataFrame, name: str, order_by: str | None = None, chunk:
     """
     cols = df.schema.names
     counted = df.withColumn("__hash", F.xxhash64(*cols)).groupBy(*cols, "__hash").agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).alias("__n"))
     if order_by is None:
         counted = counted.withColumn("__bucket", F.pmod("__hash", F.lit(HASH_BUCKETS)))
         buckets, order = ["__bucket"], ["__hash"]
@@ -163,14 +163,14 @@ def dense_numbers(df: DataFrame, name: str, order_by: str | None = None, chunk:
         at = F.coalesce(at, F.lit(1e300))
         counted = _with_buckets(counted.withColumn("__at", at), df.select(at.alias("__at")), "__at")
         buckets, order = _BUCKET, ["__at", "__hash"]
-    placed = _sequenced(counted, buckets, ["n"], [])
+    placed = _sequenced(counted, buckets, ["__n"], [])
     inside = (Window.partitionBy(*buckets).orderBy(*order, *cols)
               .rowsBetween(Window.unboundedPreceding, -1))
-    start = F.col("n__off") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    start = F.col("__n__off") + F.coalesce(F.sum("__n").over(inside), F.lit(0))
     placed = placed.withColumn("__start", start)
-    last = F.floor((F.col("n") - F.lit(1)) / F.lit(chunk)).cast("long")
+    last = F.floor((F.col("__n") - F.lit(1)) / F.lit(chunk)).cast("long")
     chunks = placed.withColumn("__chunk", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     first_in = F.col("__chunk") * F.lit(chunk)
-    last_in = F.least(first_in + F.lit(chunk - 1), F.col("n") - F.lit(1))
+    last_in = F.least(first_in + F.lit(chunk - 1), F.col("__n") - F.lit(1))
     rows = chunks.withColumn("__offset", F.explode(F.sequence(first_in, last_in)))
     return rows.select(*cols, (F.col("__start") + F.col("__offset")).alias(name))
