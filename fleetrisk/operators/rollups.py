@@ -161,7 +161,7 @@ def city_analytics(df: DataFrame) -> DataFrame:
         """Amount whose NULLs take the mean of the plain column (zero without one)."""
         if not has(df, name):
             return num(df, plain, 0.0)
-        if not has(df, plain):
+        if not has(df, plain) or not df.schema[name].nullable:
             return num(df, name, 0.0)
         mean = df.agg(F.avg(num(df, plain, 0.0))).scalar()
         return num(df, name, mean)

@@ -71,6 +71,7 @@ def main() -> None:
     spark, con = make_session(), connect(sf_dir)
     queries, oracle = entry.queries(), entry.oracle_sql()
     failed = 0
+    spark.range(1).count()
     for key, build in queries.items():
         if prefixes and not key.startswith(prefixes):
             continue
