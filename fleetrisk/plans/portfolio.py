@@ -94,6 +94,8 @@ def map_quotes(df: DataFrame, make_scorer: Callable[[], Callable[[pd.DataFrame],
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for batch in batches:
-            yield scorer(batch).reindex(columns=names)
+            scored = scorer(batch)
+            yield pd.DataFrame({
+                name: scored[name].to_numpy() if name in scored else [None] * len(scored) for name in names})
 
     return df.mapInPandas(score, schema)
