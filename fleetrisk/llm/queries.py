@@ -50,14 +50,14 @@ weighed AS (
   SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight,
          CAST(3 * source_size AS DOUBLE) AS cap FROM per),
 levels AS (
-  SELECT *, row_number() OVER w AS at, cap / weight AS ratio,
+  SELECT *, row_number() OVER w AS place, cap / weight AS ratio,
          (CAST(sum(source_size) OVER () AS DOUBLE)
           - coalesce(sum(cap) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
          / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM weighed WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)),
 targets AS (
   SELECT source, source_size,
-         coalesce(least(cap, (SELECT arg_min(level, at) FROM levels WHERE level <= ratio) * weight), cap) AS target
+         coalesce(least(cap, (SELECT arg_min(level, place) FROM levels WHERE level <= ratio) * weight), cap) AS target
   FROM levels),
 placed AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
