@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetrisk.llm import decontaminate, jaccard, mixing, quality, sharding
+from fleetrisk.llm import decontaminate, factorisation, jaccard, langid, mixing, quality, sharding
 from fleetrisk.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,16 @@ def _op5(spark, sf_dir):
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op7_quality_classifier")
+def _op7(spark, sf_dir):
+    return factorisation.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op9_quality_rules")
 def _op9(spark, sf_dir):
     return quality.measure(table(spark, sf_dir, "documents"))
+
+
+@query("op10_language_id")
+def _op10(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
