@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetrisk.llm import decontaminate, factorisation, jaccard, langid, mixing, quality, sharding
+from fleetrisk.llm import decontaminate, factorisation, jaccard, langid, mixing, quality, repeats, sharding
 from fleetrisk.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,11 @@ def _op7(spark, sf_dir):
     return factorisation.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op8_repeated_passages")
+def _op8(spark, sf_dir):
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_rules")
 def _op9(spark, sf_dir):
     return quality.measure(table(spark, sf_dir, "documents"))
