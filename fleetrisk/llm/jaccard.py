@@ -7,6 +7,8 @@ first few, the prefix, go to the shingles' index lists: two linked sets meet in
 * Index-level skipping. A list is kept in blocks by position, each sorted by set size.
   Position and size of an entry give, for every block, the range of sizes that can still
   link; blocks and entries outside the range are never touched.
+  Entries that stay are looked at once more with parity bitmaps of the sets: the bits in
+  which two bitmaps differ are a lower bound of the sets' difference.
 * Answer-level skipping. Links only have to be known up to components. First every entry is
   compared with one pivot of its list (found in most common lists), then with its other
   pivots in other components. What is left is compared with whole components: the answers
@@ -51,6 +53,8 @@ COUNTERS = 1 << 21
 SHORT = 32
 #: Entries of one list that a task holds at once.
 LIST_ROWS = 2_000_000
+#: Parity bitmap of a set, in 64-bit words.
+BITS = ("b0", "b1", "b2", "b3")
 #: Members of a component that one task compares with its visitors.
 MEMBERS = 20_000
 
@@ -119,21 +123,27 @@ def _sets(levels: np.ndarray, percent: int):
                     if level.any():
                         s = s[np.lexsort((s, level))]
                     prefix.append(s[:len(s) - (percent * len(s) + 99) // 100 + 1] if len(s) else s)
+                bits = np.zeros((len(sets), 64 * len(BITS)), np.uint8)
+                for k, s in enumerate(sets):
+                    bits[k] = np.bincount((s >> np.uint64(40)).astype(np.int64) % (64 * len(BITS)), minlength=64 * len(BITS)) & 1
+                bits = np.packbits(bits, axis=1).view(np.int64)
                 flat = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
                 offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefix])])
                 part = batch.slice(piece.first, len(piece))
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("id"), pa.array(n), pa.array(a.view(np.int64)),
-                     pa.array(b.view(np.int64)), lists(flat.view(np.int64), offsets, pa.int64())],
-                    names=["doc_id", "id", "n", "a", "b", "prefix"])
+                     pa.array(b.view(np.int64)), lists(flat.view(np.int64), offsets, pa.int64()),
+                     *[pa.array(bits[:, k]) for k in range(len(BITS))]],
+                    names=["doc_id", "id", "n", "a", "b", "prefix", *BITS])
     return run
 
 
 class Lists:
     """Some complete index lists: entries sorted by shingle, position and size."""
 
-    def __init__(self, shingle, pos, n, ids, percent: int):
+    def __init__(self, shingle, pos, n, ids, percent: int, bits=()):
         self.shingle, self.pos, self.n, self.ids, self.percent = shingle, pos, n, ids, percent
+        self.bits = np.stack(bits, axis=1).view(np.uint64) if len(bits) else None
         new = np.ones(len(shingle), bool)
         new[1:] = shingle[1:] != shingle[:-1]
         self.begin = np.flatnonzero(new)
@@ -142,6 +152,14 @@ class Lists:
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of entries of one list that may link, in chunks; each pair once."""
+        for x, y in self._by_position():
+            if self.bits is not None and len(x):
+                apart = np.bitwise_count(self.bits[x] ^ self.bits[y]).sum(axis=1, dtype=np.int64)
+                ok = linked((self.n[x] + self.n[y] - apart) // 2, self.n[x], self.n[y], self.percent)
+                x, y = x[ok], y[ok]
+            yield x, y
+
+    def _by_position(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         short = self.length[self.own] <= SHORT
         for d in range(1, SHORT):
             at = np.flatnonzero((self.own[d:] == self.own[:-d]) & short[d:]) if d < len(self.own) else []
@@ -207,13 +225,13 @@ def _complete(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[t
         yield [np.concatenate(c) for c in zip(*held)], False
 
 
-def _partners(percent: int):
+def _partners(percent: int, bits: tuple[str, ...] = ()):
     """Entries that may link with another entry of their list, each with a pivot to try first."""
-    names = ["shingle", "pos", "n", "id"]
+    names = ["shingle", "pos", "n", "id", *bits]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, part in _complete(batches, names):
-            entries = Lists(*columns, percent)
+            entries = Lists(*columns[:4], percent, columns[4:])
             rows = len(columns[0])
             chance = mix(entries.ids.view(np.uint64) ^ entries.shingle.view(np.uint64))
             best, pivot = chance.copy(), np.arange(rows)
@@ -236,7 +254,7 @@ def _partners(percent: int):
 
 def _visits(percent: int):
     """(id, comp) for every entry and every larger component it may link with in its list."""
-    names = ["shingle", "pos", "n", "id", "comp", "members"]
+    names = ["shingle", "pos", "n", "id", "comp", "members", *BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, _ in _complete(batches, names):
@@ -246,7 +264,7 @@ def _visits(percent: int):
             keep = mixed[entries.own]
             if not keep.any():
                 continue
-            entries = Lists(*[c[keep] for c in columns[:4]], percent)
+            entries = Lists(*[c[keep] for c in columns[:4]], percent, [c[keep] for c in columns[6:]])
             comp, members = comp[keep], members[keep]
             for x, y in entries.pairs():
                 other = comp[x] != comp[y]
@@ -376,16 +394,27 @@ def _nodes(documents: DataFrame) -> DataFrame:
     return documents.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("id"), text.alias("text"))
 
 
+_SETS = ("doc_id bigint, id bigint, n bigint, a bigint, b bigint, prefix array<bigint>, "
+         + ", ".join(f"{b} bigint" for b in BITS))
+_ENTRY = "shingle bigint, pos bigint, n bigint, id bigint"
+
+
+def _by_list(entries: DataFrame) -> DataFrame:
+    return entries.repartition("shingle").sortWithinPartitions("shingle", "pos", "n", "id")
+
+
 def _join(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, id, n, a, b) of all documents and labels (id, comp) of linked classes."""
     nodes = _nodes(documents)
     levels = order_levels(nodes)
-    sets = settle(nodes.mapInArrow(_sets(levels, percent), "doc_id bigint, id bigint, n bigint, a bigint, b bigint, prefix array<bigint>"), "sets")
+    sets = settle(nodes.mapInArrow(_sets(levels, percent), _SETS), "sets")
     classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("id", "prefix")).alias("first"))
     entries = classes.select("n", "first.id", F.posexplode("first.prefix").alias("pos", "shingle"))
-    entries = (entries.select("shingle", F.col("pos").cast("bigint").alias("pos"), "n", "id")
-               .repartition("shingle").sortWithinPartitions("shingle", "pos", "n", "id"))
-    shared = settle(entries.mapInArrow(_partners(percent), "shingle bigint, pos bigint, n bigint, id bigint, pivot bigint"), "shared")
+    entries = entries.select("shingle", F.col("pos").cast("bigint").alias("pos"), "n", "id")
+    near = settle(_by_list(entries).mapInArrow(_partners(percent), f"{_ENTRY}, pivot bigint").drop("pivot"), "near")
+    near = near.join(sets.select("id", "n", *BITS).distinct(), ["id", "n"]).select("shingle", "pos", "n", "id", *BITS)
+    columns = f"{_ENTRY}, {', '.join(f'{b} bigint' for b in BITS)}, pivot bigint"
+    shared = settle(_by_list(near).mapInArrow(_partners(percent, BITS), columns), "shared")
 
     ids = settle(shared.select("id").distinct(), "ids")
     texts = settle(nodes.join(ids, "id", "left_semi").select("id", "text").distinct(), "texts")
@@ -400,16 +429,15 @@ def _join(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     for largest in (True, False):
         sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
         named = shared.drop("pivot").join(labels, "id").join(sizes, "comp")
-        named = named.select("shingle", "pos", "n", "id", "comp", "members")
-        named = named.repartition("shingle").sortWithinPartitions("shingle", "pos", "n", "id")
-        visits = named.mapInArrow(_visits(percent), "id bigint, comp bigint, members bigint").distinct()
+        named = named.select("shingle", "pos", "n", "id", "comp", "members", *BITS)
+        visits = _by_list(named).mapInArrow(_visits(percent), "id bigint, comp bigint, members bigint").distinct()
         if largest:
             visits = visits.groupBy("id").agg(F.max(F.struct("members", "comp")).alias("to")).select("id", "to.comp", "to.members")
         visits = settle(visits, "visits")
         if visits.isEmpty():
             break
         labels = merge(labels, _visit_links(visits, labels, votes, texts, percent))
-    return sets.drop("prefix"), labels
+    return sets.select("doc_id", "id", "n", "a", "b"), labels
 
 
 def _split(pairs: DataFrame, labels: DataFrame) -> DataFrame:
