@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetrisk.llm import decontaminate, factorisation, jaccard, langid, mixing, quality, repeats, sharding
+from fleetrisk.llm import decontaminate, factorisation, jaccard, langid, licences, lines, mixing, quality, repeats, sharding
 from fleetrisk.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def _op2(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op3_licence_scan")
+def _op3(spark, sf_dir):
+    return licences.scan_licences(table(spark, sf_dir, "documents"))
+
+
 @query("op4_ngram_jaccard_join")
 def _op4(spark, sf_dir):
     return jaccard.near_copies(table(spark, sf_dir, "documents"))
@@ -78,6 +83,11 @@ def _op5(spark, sf_dir):
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op6_line_dedup")
+def _op6(spark, sf_dir):
+    return lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 @query("op7_quality_classifier")
 def _op7(spark, sf_dir):
     return factorisation.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
