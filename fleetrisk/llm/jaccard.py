@@ -53,8 +53,8 @@ COUNTERS = 1 << 21
 SHORT = 32
 #: Entries of one list that a task holds at once.
 LIST_ROWS = 2_000_000
-#: Parity bitmap of a set, in 64-bit words.
-BITS = ("b0", "b1", "b2", "b3")
+#: Parity bitmap of a set, in 64-bit words (1024 bits).
+BITS = tuple(f"b{k}" for k in range(16))
 #: Members of a component that one task compares with its visitors.
 MEMBERS = 20_000
 
