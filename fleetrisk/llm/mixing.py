@@ -27,6 +27,8 @@ from fleetrisk.llm.numbering import bucket_of, running_sum
 
 MOST_EPOCHS = 3
 SEED = "mix-1"
+#: Up to so many sources their targets go to every task; beyond, the join is by shuffle.
+BROADCAST_SOURCES = 20_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -74,6 +76,9 @@ def mix_documents(documents: DataFrame, seed: str = SEED, keep: list[str] | None
     per = targets(rows)
     slim = settle(rows.select("group", "source", "size", "key", *([] if keep else ["doc_id", "tie"])), "mix")
     per = targets(slim).withColumn("group", _group(F.col("source"))).drop("source")
+    per = settle(per, "targets")
+    if per.count() <= BROADCAST_SOURCES:
+        per = F.broadcast(per)
     bucket = bucket_of(F.col("key"), F.col("rows"))
     slim = slim.join(per, "group").withColumn("bucket", bucket)
     rows = rows.join(per, "group").withColumn("bucket", bucket) if keep else slim

@@ -31,6 +31,7 @@ def running_sum(df: DataFrame, group: str, bucket: str, order: list[str], value:
     before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(group, bucket, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__before"))
     within = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = df.withColumn("__within", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    # Dealt out by both keys, whatever partitioning the frame has: a hot group stays spread.
+    rows = df.repartition(group, bucket).withColumn("__within", F.coalesce(F.sum(value).over(within), F.lit(0)))
     return (rows.join(offsets, [group, bucket])
             .select(*df.columns, (F.col("__before") + F.col("__within")).cast("bigint").alias(name)))
