@@ -414,9 +414,11 @@ def _join(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     near = settle(_by_list(entries).mapInArrow(_partners(percent), f"{_ENTRY}, pivot bigint").drop("pivot"), "near")
     near = near.join(sets.select("id", "n", *BITS).distinct(), ["id", "n"]).select("shingle", "pos", "n", "id", *BITS)
     columns = f"{_ENTRY}, {', '.join(f'{b} bigint' for b in BITS)}, pivot bigint"
-    shared = settle(_by_list(near).mapInArrow(_partners(percent, BITS), columns), "shared")
+    shared = _by_list(near).mapInArrow(_partners(percent, BITS), columns).drop(*BITS)
+    shared = settle(shared, "shared")
 
     ids = settle(shared.select("id").distinct(), "ids")
+    looks = settle(sets.select("id", "n", *BITS).join(ids, "id", "left_semi").distinct(), "looks")
     texts = settle(nodes.join(ids, "id", "left_semi").select("id", "text").distinct(), "texts")
     labels = ids.select("id", F.col("id").alias("comp"))
     pairs = settle(shared.where("pivot is not null").groupBy("id", "pivot").count(), "pairs")
@@ -429,6 +431,9 @@ def _join(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     for largest in (True, False):
         sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
         named = shared.drop("pivot").join(labels, "id").join(sizes, "comp")
+        # Only lists that hold several components go on, and only their entries get bitmaps.
+        mixed = named.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
+        named = named.join(mixed.where("low <> high").select("shingle"), "shingle", "left_semi").join(looks, ["id", "n"])
         named = named.select("shingle", "pos", "n", "id", "comp", "members", *BITS)
         visits = _by_list(named).mapInArrow(_visits(percent), "id bigint, comp bigint, members bigint").distinct()
         if largest:
