@@ -17,10 +17,12 @@ from fleetrisk.streaming import live
 
 
 def _events(v) -> DataFrame:
-    """The history view as a stream of files; watermarks need a zoned timestamp."""
-    schema = v.table("events").schema
-    stream = (v.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(v.dir))
+    """The history view as a stream of the table's files, whether it is a file or a folder.
+
+    Watermarks need a zoned timestamp. The path is a pattern of that one name: Spark takes
+    a plain path of a stream for a folder's, a pattern may also name a file.
+    """
+    stream = v.spark.readStream.schema(v.table("events").schema).parquet(f"{v.dir}/[e]vents.parquet")
     rows = stream.selectExpr(*[f"{sql} AS {name}" for name, sql in HISTORY])
     return rows.withColumns({"Last_Update": F.col("Last_Update").cast("timestamp"),
                              "Time_of_Day": cal.time_of_day(F.col("Last_Update")),

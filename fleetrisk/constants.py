@@ -125,10 +125,10 @@ EVAL_INTERVENTION_COST = (0.0, 20.0, 40.0, 15.0)
 # --- fixed values: fraud ---------------------------------------------------
 SEVERITY_HOLD_HOURS = {"Critical": 72.0, "High": 48.0, "Medium": 24.0, "Low": 12.0}
 SEVERITY_COLOUR = {
-    "Critical": "\U0001F534 Red",
-    "High": "\U0001F7E0 Orange",
-    "Medium": "\U0001F7E1 Yellow",
-    "Low": "\U0001F7E2 Green",
+    "Critical": "🔴 Red",
+    "High": "🟠 Orange",
+    "Medium": "🟡 Yellow",
+    "Low": "🟢 Green",
 }
 SEVERITY_FRAUD_TYPE = {
     "Critical": "Hard fraud (staged accidents)",
