@@ -51,7 +51,7 @@ PERCENT = 90
 COUNTERS = 1 << 21
 #: Lists up to this length are compared entry by entry.
 SHORT = 32
-#: Entries of one list that a task holds at once.
+#: Entries of one list that a task searches; a longer list is cut into lists of two parts each.
 LIST_ROWS = 2_000_000
 #: Parity bitmap of a set, in 64-bit words (1024 bits).
 BITS = tuple(f"b{k}" for k in range(16))
@@ -84,20 +84,23 @@ def linked(common, size_x, size_y, percent: int = PERCENT):
 
 # ---------------------------------------------------------------- the order of shingles
 
-def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        for piece in pieces(batch.column("text")):
-            windows = window_hashes(piece.words(NOT_SPACE, lower=True).hashes(), SHINGLE)
-            counts += np.bincount((windows & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-    often = np.flatnonzero(counts > max(8, 4 * counts.sum() // COUNTERS))
-    yield pa.RecordBatch.from_pydict({"bucket": pa.array(often, pa.int64()), "n": pa.array(counts[often], pa.int64()),
-                                      "total": pa.array(np.where(np.arange(len(often)) == 0, counts.sum(), 0), pa.int64())})
+def _counters(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            for piece in pieces(batch.column("text")):
+                windows = window_hashes(piece.words(NOT_SPACE, lower=True).hashes(), shingle)
+                counts += np.bincount((windows & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        often = np.flatnonzero(counts > max(8, 4 * counts.sum() // COUNTERS))
+        yield pa.RecordBatch.from_pydict({
+            "bucket": pa.array(often, pa.int64()), "n": pa.array(counts[often], pa.int64()),
+            "total": pa.array(np.where(np.arange(len(often)) == 0, counts.sum(), 0), pa.int64())})
+    return run
 
 
-def order_levels(texts: DataFrame) -> np.ndarray:
+def order_levels(texts: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
     """A level for every counter: 0 for rare shingles, more for ever more frequent ones."""
-    rows = (texts.select("text").mapInArrow(_counters, "bucket bigint, n bigint, total bigint")
+    rows = (texts.select("text").mapInArrow(_counters(shingle), "bucket bigint, n bigint, total bigint")
             .groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toArrow())
     levels = np.zeros(COUNTERS, np.uint8)
     if rows.num_rows:
@@ -109,11 +112,11 @@ def order_levels(texts: DataFrame) -> np.ndarray:
 
 # ---------------------------------------------------------------- sets and index lists
 
-def _sets(levels: np.ndarray, percent: int):
+def _sets(levels: np.ndarray, percent: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch.column("text")):
-                sets = shingles(piece)
+                sets = shingles(piece, shingle)
                 n = np.array([len(s) for s in sets], np.int64)
                 a = np.array([mix(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64) for s in sets], np.uint64)
                 b = np.array([mix(s ^ np.uint64(0x5A5A5A)).sum(dtype=np.uint64) for s in sets], np.uint64)
@@ -204,51 +207,97 @@ class Lists:
                 step = stop
 
 
-def _complete(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[list[np.ndarray], bool]]:
-    """Whole lists from sorted batches; a list beyond LIST_ROWS comes in parts, marked True."""
+def _complete(batches: Iterator[pa.RecordBatch], names: list[str],
+              limit: int | None = None) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """Whole lists from sorted batches; with a limit, a list of more rows comes in parts, marked True."""
     held: list[list[np.ndarray]] = []
-    rows = 0
+    rows, cut = 0, None  # cut: the list of which parts have been handed out
     for batch in batches:
+        if not batch.num_rows:
+            continue
         held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
         rows += batch.num_rows
-        if rows < 100_000:
+        if rows < min(100_000, limit or 100_000):
             continue
         columns = [np.concatenate(c) for c in zip(*held)]
         last = int(np.searchsorted(columns[0], columns[0][-1], "left"))
-        if last:
-            yield [c[:last] for c in columns], False
+        yield from _apart([c[:last] for c in columns], cut)
         held, rows = [[c[last:] for c in columns]], len(columns[0]) - last
-        if rows > LIST_ROWS:
+        if limit and rows > limit:
+            cut = columns[0][-1]
             yield held[0], True
             held, rows = [], 0
     if rows:
-        yield [np.concatenate(c) for c in zip(*held)], False
+        yield from _apart([np.concatenate(c) for c in zip(*held)], cut)
 
 
-def _partners(percent: int, bits: tuple[str, ...] = ()):
+def _apart(columns: list[np.ndarray], cut) -> Iterator[tuple[list[np.ndarray], bool]]:
+    """The rest of a list that has been handed out in parts, then the whole lists."""
+    rest = int(np.searchsorted(columns[0], cut, "right")) if cut is not None else 0
+    if rest:
+        yield [c[:rest] for c in columns], True
+    if rest < len(columns[0]):
+        yield [c[rest:] for c in columns], False
+
+
+def _candidates(percent: int, limit: int):
+    """Entries that may link with another one of their list by position and size.
+
+    A list beyond the limit is not searched here: all its entries go on, marked ``long``.
+    """
+    names = ["shingle", "pos", "n", "id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, part in _complete(batches, names, limit):
+            some = np.full(len(columns[0]), part)
+            if not part:
+                for x, y in Lists(*columns, percent).pairs():
+                    some[x] = some[y] = True
+            yield pa.RecordBatch.from_arrays([*[pa.array(c[some]) for c in columns], pa.array(np.full(some.sum(), part))],
+                                             names=[*names, "long"])
+    return run
+
+
+def _cut_long(near: DataFrame, limit: int) -> DataFrame:
+    """Entries with every list beyond the limit replaced by lists of bounded length.
+
+    A long list is cut into parts by id, and each two parts (and each part by itself) make a
+    list of their own, so any two entries still meet.
+    """
+    sizes = near.where("long").groupBy("shingle").agg(F.count(F.lit(1)).alias("rows"))
+    sizes = settle(sizes.select("shingle", F.ceil(F.col("rows") * 4 / limit).cast("int").alias("parts")), "long")
+    whole = near.where("not long").drop("long")
+    if sizes.isEmpty():
+        return whole
+    cut = near.where("long").drop("long").join(sizes, "shingle")
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("id"), "parts"))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    two = F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other"))
+    return whole.union(cut.withColumn("shingle", two).select(*whole.columns))
+
+
+def _partners(percent: int):
     """Entries that may link with another entry of their list, each with a pivot to try first."""
-    names = ["shingle", "pos", "n", "id", *bits]
+    names = ["shingle", "pos", "n", "id", *BITS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, part in _complete(batches, names):
+        for columns, _ in _complete(batches, names):
             entries = Lists(*columns[:4], percent, columns[4:])
             rows = len(columns[0])
             chance = mix(entries.ids.view(np.uint64) ^ entries.shingle.view(np.uint64))
             best, pivot = chance.copy(), np.arange(rows)
-            some = np.full(rows, part)
-            if part:
-                pivot[:] = np.argmin(chance)
-            else:
-                for x, y in entries.pairs():
-                    some[x] = some[y] = True
-                    for mine, other in ((x, y), (y, x)):
-                        np.minimum.at(best, mine, chance[other])
-                        hit = best[mine] == chance[other]
-                        pivot[mine[hit]] = other[hit]
+            some = np.zeros(rows, bool)
+            for x, y in entries.pairs():
+                some[x] = some[y] = True
+                for mine, other in ((x, y), (y, x)):
+                    np.minimum.at(best, mine, chance[other])
+                    hit = best[mine] == chance[other]
+                    pivot[mine[hit]] = other[hit]
             at = np.flatnonzero(some)
             ids, pivots = entries.ids[at], entries.ids[pivot[at]]
             yield pa.RecordBatch.from_arrays(
-                [*[pa.array(c[at]) for c in columns], pa.array(pivots, mask=pivots == ids)], names=[*names, "pivot"])
+                [*[pa.array(c[at]) for c in columns[:4]], pa.array(pivots, mask=pivots == ids)],
+                names=[*names[:4], "pivot"])
     return run
 
 
@@ -278,7 +327,7 @@ def _visits(percent: int):
 
 # ---------------------------------------------------------------- exact comparisons
 
-def _compare(percent: int):
+def _compare(percent: int, shingle: int):
     """Rows of one x follow each other, its own text first: links of x with the others."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, sets = None, []
@@ -286,7 +335,7 @@ def _compare(percent: int):
             x, y = batch.column("x").to_pylist(), batch.column("y").to_pylist()
             found = ([], [])
             for piece in pieces(batch.column("text")):
-                for k, s in enumerate(shingles(piece), piece.first):
+                for k, s in enumerate(shingles(piece, shingle), piece.first):
                     if y[k] is None:
                         now, sets = x[k], ([*sets, s] if x[k] == now else [s])
                     elif x[k] == now and any(linked(_overlap(s, c), len(s), len(c), percent) for c in sets):
@@ -296,13 +345,13 @@ def _compare(percent: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Those of the pairs (x, y) that link."""
     others = pairs.join(texts, pairs["y"] == texts["id"]).select("x", "y", "text")
     own = pairs.select("x").distinct().join(texts, F.col("x") == texts["id"])
     rows = others.union(own.select("x", F.lit(None).cast("bigint").alias("y"), "text"))
     rows = rows.repartition("x").sortWithinPartitions(F.col("x"), F.col("y").asc_nulls_first())
-    return settle(rows.mapInArrow(_compare(percent), "x bigint, y bigint"), "links")
+    return settle(rows.mapInArrow(_compare(percent, shingle), "x bigint, y bigint"), "links")
 
 
 class Family:
@@ -341,7 +390,7 @@ class Family:
         return self.ids[hit[0]] if len(hit) else None
 
 
-def _families(percent: int):
+def _families(percent: int, shingle: int):
     """Rows of one family follow each other: centre (0), members (1), visitors (2)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, family, closed = None, None, False
@@ -349,7 +398,7 @@ def _families(percent: int):
             comp, part, kind, ids = (batch.column(c).to_pylist() for c in ("comp", "part", "kind", "id"))
             found = ([], [])
             for piece in pieces(batch.column("text")):
-                for k, s in enumerate(shingles(piece), piece.first):
+                for k, s in enumerate(shingles(piece, shingle), piece.first):
                     if kind[k] == 0:
                         if now != (comp[k], part[k]):
                             now, family, closed = (comp[k], part[k]), Family(s), False
@@ -370,7 +419,8 @@ def _families(percent: int):
     return run
 
 
-def _visit_links(visits: DataFrame, labels: DataFrame, votes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _visit_links(visits: DataFrame, labels: DataFrame, votes: DataFrame, texts: DataFrame, percent: int,
+                 shingle: int) -> DataFrame:
     """A link for every visit (id, comp) that has one."""
     families = visits.select("comp", (F.floor((F.col("members") - 1) / MEMBERS) + 1).alias("parts")).distinct()
     members = (labels.join(families, "comp").join(votes, "id", "left")
@@ -383,7 +433,7 @@ def _visit_links(visits: DataFrame, labels: DataFrame, votes: DataFrame, texts:
             .union(visits.join(families, "comp").select("comp", every, F.lit(2).alias("kind"), "id")))
     rows = rows.join(texts, "id").select("comp", "part", "kind", "id", "text")
     rows = rows.repartition("comp", "part").sortWithinPartitions("comp", "part", "kind", "id")
-    return settle(rows.mapInArrow(_families(percent), "x bigint, y bigint"), "links")
+    return settle(rows.mapInArrow(_families(percent, shingle), "x bigint, y bigint"), "links")
 
 
 # ---------------------------------------------------------------- the operator
@@ -403,19 +453,18 @@ def _by_list(entries: DataFrame) -> DataFrame:
     return entries.repartition("shingle").sortWithinPartitions("shingle", "pos", "n", "id")
 
 
-def _join(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def _join(documents: DataFrame, percent: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, id, n, a, b) of all documents and labels (id, comp) of linked classes."""
     nodes = _nodes(documents)
-    levels = order_levels(nodes)
-    sets = settle(nodes.mapInArrow(_sets(levels, percent), _SETS), "sets")
+    levels = order_levels(nodes, shingle)
+    sets = settle(nodes.mapInArrow(_sets(levels, percent, shingle), _SETS), "sets")
     classes = sets.where("n > 0").groupBy("a", "b", "n").agg(F.min(F.struct("id", "prefix")).alias("first"))
     entries = classes.select("n", "first.id", F.posexplode("first.prefix").alias("pos", "shingle"))
     entries = entries.select("shingle", F.col("pos").cast("bigint").alias("pos"), "n", "id")
-    near = settle(_by_list(entries).mapInArrow(_partners(percent), f"{_ENTRY}, pivot bigint").drop("pivot"), "near")
+    near = settle(_by_list(entries).mapInArrow(_candidates(percent, LIST_ROWS), f"{_ENTRY}, long boolean"), "near")
+    near = _cut_long(near, LIST_ROWS)
     near = near.join(sets.select("id", "n", *BITS).distinct(), ["id", "n"]).select("shingle", "pos", "n", "id", *BITS)
-    columns = f"{_ENTRY}, {', '.join(f'{b} bigint' for b in BITS)}, pivot bigint"
-    shared = _by_list(near).mapInArrow(_partners(percent, BITS), columns).drop(*BITS)
-    shared = settle(shared, "shared")
+    shared = settle(_by_list(near).mapInArrow(_partners(percent), f"{_ENTRY}, pivot bigint"), "shared")
 
     ids = settle(shared.select("id").distinct(), "ids")
     looks = settle(sets.select("id", "n", *BITS).join(ids, "id", "left_semi").distinct(), "looks")
@@ -423,10 +472,10 @@ def _join(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     labels = ids.select("id", F.col("id").alias("comp"))
     pairs = settle(shared.where("pivot is not null").groupBy("id", "pivot").count(), "pairs")
     best = pairs.groupBy("id").agg(F.max(F.struct("count", "pivot"))["pivot"].alias("x"))
-    labels = merge(labels, _links(best.select("x", F.col("id").alias("y")), texts, percent))
+    labels = merge(labels, _links(best.select("x", F.col("id").alias("y")), texts, percent, shingle))
     rest = settle(_split(pairs.select(F.col("pivot").alias("x"), F.col("id").alias("y")), labels), "rest")
     if not rest.isEmpty():
-        labels = merge(labels, _links(rest, texts, percent))
+        labels = merge(labels, _links(rest, texts, percent, shingle))
     votes = pairs.groupBy(F.col("pivot").alias("id")).agg(F.sum("count").alias("votes"))
     for largest in (True, False):
         sizes = labels.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
@@ -441,7 +490,7 @@ def _join(documents: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         visits = settle(visits, "visits")
         if visits.isEmpty():
             break
-        labels = merge(labels, _visit_links(visits, labels, votes, texts, percent))
+        labels = merge(labels, _visit_links(visits, labels, votes, texts, percent, shingle))
     return sets.select("doc_id", "id", "n", "a", "b"), labels
 
 
@@ -460,21 +509,21 @@ def _classes(sets: DataFrame, labels: DataFrame) -> DataFrame:
     return named.drop("doc_id").join(smallest, "comp")
 
 
-def near_copies(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_copies(documents: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """Per document row: size of its set and the smallest doc_id that links reach."""
-    sets, labels = _join(documents, percent)
+    sets, labels = _join(documents, percent, shingle)
     classes = _classes(sets, labels).select("a", "b", F.col("n").alias("size"), "component_id")
     joined = sets.join(classes, [sets["a"] == classes["a"], sets["b"] == classes["b"], sets["n"] == classes["size"]], "left")
     mine = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", F.col("n").alias("n_shingles"), mine.alias("component_id"))
 
 
-def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+def keep_one(documents: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``documents`` with one row of each component: the smallest doc_id's.
 
     Rows with an empty set are all kept. Of repeated rows one stays.
     """
-    sets, labels = _join(documents, percent)
+    sets, labels = _join(documents, percent, shingle)
     classes = _classes(sets, labels)
     rows = sets.where("n > 0").join(classes.select("a", "b", F.col("n").alias("size"), "comp"), ["a", "b"])
     first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first"))

@@ -121,22 +121,26 @@ def test_mix_meets_targets(docs, empty):
     assert mixing.mixed(empty).count() == 0
 
 
-def test_near_copies_equal_brute_force(docs, empty):
+@pytest.mark.parametrize("percent, size, list_rows", [(90, 3, None), (80, 5, None), (80, 3, 4)])
+def test_near_copies_equal_brute_force(docs, empty, monkeypatch, percent, size, list_rows):
+    if list_rows:  # every index list of more entries is cut into lists of two parts each
+        monkeypatch.setattr(jaccard, "LIST_ROWS", list_rows)
+
     def shingled(text):
         w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        return frozenset(tuple(w[k:k + 3]) for k in range(max(1, len(w) - 2))) if w else frozenset()
+        return frozenset(tuple(w[k:k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset()
     sets = [shingled(r[1]) for r in ROWS]
     comp = list(range(len(ROWS)))
     for x in range(len(ROWS)):
         for y in range(x):
             common = len(sets[x] & sets[y])
-            if common and 100 * common >= 90 * len(sets[x] | sets[y]) or (ROWS[x][0] is not None and ROWS[x][0] == ROWS[y][0]):
+            if common and 100 * common >= percent * len(sets[x] | sets[y]) or (ROWS[x][0] is not None and ROWS[x][0] == ROWS[y][0]):
                 old, new = comp[x], comp[y]
                 comp = [new if c == old else c for c in comp]
     smallest = {c: min((ROWS[k][0] for k in range(len(ROWS)) if comp[k] == c and ROWS[k][0] is not None), default=None) for c in comp}
     expected = Counter((r[0], len(s), smallest[c]) for r, s, c in zip(ROWS, sets, comp))
-    assert Counter(map(tuple, jaccard.near_copies(docs).collect())) == expected
-    kept = jaccard.keep_one(docs)
+    assert Counter(map(tuple, jaccard.near_copies(docs, percent, size).collect())) == expected
+    kept = jaccard.keep_one(docs, percent, size)
     assert kept.columns == docs.columns
     assert kept.count() == len({c for s, c in zip(sets, comp) if s}) + sum(not s for s in sets)
     assert jaccard.near_copies(empty).count() == 0
