@@ -19,9 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
+    """One document of each component of near copies: shingles of five words, similarity 0.8 or more."""
     reachable(spark)
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, percent=80, shingle=5)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
