@@ -33,12 +33,16 @@ def overlay(df: DataFrame, live: DataFrame, columns: Iterable[str], order: Seque
 
     A matched row takes the live value even when it is NULL; an unmatched row keeps its
     own; a column that only the live side has is added. ``order`` picks the last live row
-    per key and is left out only when live keys are already unique.
+    per key; without it a repeated key takes its greatest row, so rows never multiply.
     """
     columns = [c for c in existing(live, columns) if c != key]
     source = live.select(key, *columns, *[c for c in _names(order) if c not in columns and c != key])
     if order is not None:
         source = last_rows(source, key, order)
+    elif columns:
+        source = source.groupBy(key).agg(F.max(F.struct(*columns)).alias("__row")).select(key, "__row.*")
+    else:
+        source = source.distinct()
     source = source.filter(F.col(key).isNotNull()).select(
         F.col(key).alias("__key"), F.lit(True).alias("__hit"), *[F.col(c).alias(f"__live_{c}") for c in columns])
     joined = df.join(source, df[key] == source["__key"], "left")
@@ -93,8 +97,11 @@ def score_lookup(df: DataFrame, scored: DataFrame, column: str = "LightGBM_Risk_
 
 def update_while_driving(df: DataFrame, scores: DataFrame, column: str = "Risk_Score",
                          order: Sequence[str | Column] | None = None) -> DataFrame:
-    """Take the looked-up value only on driving rows that have a match."""
-    source = last_rows(scores, "Plate", order) if order else scores
+    """Take the looked-up value only on driving rows that have a match.
+
+    ``order`` picks the last score per plate; without it a repeated plate takes its greatest.
+    """
+    source = last_rows(scores, "Plate", order) if order else scores.groupBy("Plate").agg(F.max(column).alias(column))
     source = source.select(F.col("Plate").alias("__key"), F.col(column).alias("__new"))
     joined = df.join(source, df["Plate"] == source["__key"], "left")
     driving = F.lower(text(df, "Status", "")) == "driving" if has(df, "Status") else F.lit(False)

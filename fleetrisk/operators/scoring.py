@@ -146,13 +146,19 @@ def ensure_model_scores(
 ) -> DataFrame:
     """Reuse scores that exist, else look them up by plate, else model, else P1.
 
-    The choice is made from the schema while the plan is built. ``cached`` holds recent
-    scores (Plate, LightGBM_Risk_Score); ``model`` maps a frame to the same frame with
-    ``LightGBM_Risk_Score``.
+    ``cached`` holds recent scores (Plate, LightGBM_Risk_Score); ``model`` maps a frame to
+    the same frame with ``LightGBM_Risk_Score``. A cache that knows none of the plates is no
+    cache: a job that stops at the first match finds out while the plan is built.
     """
     if has(df, "Calculated_Risk_Score") and has(df, "LightGBM_Risk_Score"):
         return df
     if cached is not None and "LightGBM_Risk_Score" in cached.schema.names and has(df, "Plate"):
+        known = cached.filter(F.col("LightGBM_Risk_Score").isNotNull()).select("Plate")
+        if df.select("Plate").join(known, "Plate", "left_semi").isEmpty():
+            cached = None
+    else:
+        cached = None
+    if cached is not None:
         from fleetrisk.operators.joins import score_lookup
 
         scored = score_lookup(df, cached)

@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -57,11 +58,18 @@ def write_json_row(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def _only_missing(error: AnalysisException) -> None:
+    """Lets a missing path pass; any other failure is an error."""
+    if error.getCondition() != "PATH_NOT_FOUND":
+        raise error
+
+
 def read_json_row(spark: SparkSession, path: str) -> Mapping | None:
     """The summary row, or None where there is none."""
     try:
         row = spark.read.json(path).limit(1).collect()
-    except Exception:
+    except AnalysisException as error:
+        _only_missing(error)
         return None
     return row[0].asDict(recursive=True) if row else None
 
@@ -71,25 +79,28 @@ class StateTable:
 
     Each version is written to a folder of its own; a one-row pointer table then names
     the current version, so readers see the old or the new state and never a mixture.
+    Versions are numbered; the highest number is current, whatever the clocks say.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self._path = spark, path.rstrip("/")
 
-    def _current(self) -> str | None:
+    def _current(self) -> tuple[int, str | None]:
         try:
             pointer = self._spark.read.parquet(f"{self._path}/current")
-        except Exception:
-            return None
-        row = pointer.orderBy(F.desc("written")).limit(1).collect()
-        return row[0]["version"] if row else None
+        except AnalysisException as error:
+            _only_missing(error)
+            return 0, None
+        row = pointer.orderBy(F.desc("number"), F.desc("version")).limit(1).collect()
+        return (row[0]["number"], row[0]["version"]) if row else (0, None)
 
     def read(self) -> DataFrame | None:
-        version = self._current()
+        version = self._current()[1]
         return None if version is None else self._spark.read.parquet(f"{self._path}/{version}")
 
     def replace(self, df: DataFrame) -> None:
         version = f"version={uuid.uuid4().hex}"
         df.write.parquet(f"{self._path}/{version}")
-        pointer = self._spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("written"))
+        number = F.lit(self._current()[0] + 1).cast("bigint")
+        pointer = self._spark.range(1).select(F.lit(version).alias("version"), number.alias("number"))
         pointer.coalesce(1).write.mode("append").parquet(f"{self._path}/current")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from fleetrisk.functions.distributions import chi2_tail, kolmogorov_tail, normal_two_sided, t_two_sided
-from fleetrisk.operators import drivers, modeling, ranks, rollups, statistics
+from fleetrisk.operators import drivers, joins, modeling, ranks, rollups, scoring, statistics
 from fleetrisk.plans.portfolio import analyse_portfolio
 from fleetrisk.sources import io, testdata
 from tests.compare import connect, difference
@@ -162,6 +162,37 @@ def test_state_table_replaces_whole_versions(spark, tmp_path):
     assert [tuple(r) for r in table.read().collect()] == [("a", 2)]
 
 
+def test_failed_reads_are_errors(spark, tmp_path):
+    (tmp_path / "current").mkdir()
+    (tmp_path / "current" / "part-0.parquet").write_text("no parquet file")
+    with pytest.raises(Exception):
+        io.StateTable(spark, str(tmp_path)).read()
+
+
+def test_repeated_keys_do_not_multiply_rows(spark):
+    df = spark.createDataFrame([("a", "Driving", 1.0), ("b", "Driving", 2.0), (None, "Parked", 3.0)], "Plate string, Status string, Risk_Score double")
+    twice = spark.createDataFrame([("a", 5.0), ("a", 7.0), ("a", None), (None, 9.0)], "Plate string, Risk_Score double")
+    expected = {("a", 7.0), ("b", 2.0), (None, 3.0)}
+    for result in (joins.update_while_driving(df, twice), joins.overlay(df, twice, ["Risk_Score"])):
+        rows = result.select("Plate", "Risk_Score").collect()
+        assert len(rows) == 3 and {tuple(r) for r in rows} == expected
+
+
+def test_cache_without_a_match_is_no_cache(spark):
+    df = testdata.portfolio(spark, SF_SMALL)
+    cached = spark.createDataFrame([("unknown plate", 0.9)], "Plate string, LightGBM_Risk_Score double")
+    plain = scoring.explainable_scores(df).select("Plate", "Risk_Score", "Risk_Band")
+    scored = scoring.ensure_model_scores(df, cached=cached).select("Plate", "Risk_Score", "Risk_Band")
+    assert scored.exceptAll(plain).isEmpty() and plain.exceptAll(scored).isEmpty()
+    fixed = scoring.ensure_model_scores(df, cached, lambda d: d.withColumn("LightGBM_Risk_Score", F.lit(0.25)))
+    assert fixed.where("LightGBM_Risk_Score <> 0.25 OR LightGBM_Risk_Score IS NULL").isEmpty()
+
+
+def test_any_number_of_levels(spark):
+    df = spark.range(300).select(F.concat(F.lit("road "), "id").alias("Road_Type"), F.col("id").cast("double").alias("score"))
+    assert len(modeling.fit_features(df).features) == 300
+
+
 def test_encoder_is_fitted_once_and_model_round_trips(spark, tmp_path):
     rows = [(f"V{i}", ["Urban", "Gravel", None][i % 3], ["x", "y"][i % 2], float(i % 10), int(i % 10 > 4), datetime(2024, 1, 1) + timedelta(hours=i))
             for i in range(200)]
