@@ -58,43 +58,75 @@ def _group(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
 
 
-def mix_documents(documents: DataFrame, seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
-    """Per document row: size, source size, target, copies and words taken.
-
-    ``keep`` names further columns of ``documents`` to hand on.
-    """
-    keep = keep or []
+def _keyed(seed: str) -> list[Column]:
+    """What a row is ordered by, and its source's key."""
     text = F.col("text").cast("string")
     drawn = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    rows = documents.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
+    return [
+        F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("bigint").alias("size"),
         # 52 random bits: exact as a double in [0, 1).
         (F.conv(F.substring(F.md5(drawn), 1, 13), 16, 10).cast("bigint") / float(1 << 52)).alias("key"),
-        F.xxhash64(text).alias("tie"), _group(F.col("source").cast("string")).alias("group"), *[F.col(f"`{c}`").alias(f"__kept_{c}") for c in keep],
-    )
-    per = targets(rows)
-    slim = settle(rows.select("group", "source", "size", "key", *([] if keep else ["doc_id", "tie"])), "mix")
-    per = targets(slim).withColumn("group", _group(F.col("source"))).drop("source")
-    per = settle(per, "targets")
+        F.xxhash64(text).alias("tie"), _group(F.col("source").cast("string")).alias("group"),
+    ]
+
+
+def _epochs() -> Column:
+    """Whole epochs of a source within its target."""
+    return F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+
+
+def _beyond() -> Column:
+    """Whether a row gets one copy more than the whole epochs."""
+    rest = F.col("target") - _epochs() * F.col("source_size")
+    return (F.col("size") > 0) & (F.col("before") + F.col("size") / 2 < rest)
+
+
+def _ordered(documents: DataFrame, seed: str) -> tuple[DataFrame, DataFrame]:
+    """Slim rows with the words before each one in its source's order, and the sources' table."""
+    slim = settle(documents.select(*_keyed(seed), F.col("source").cast("string").alias("source")), "mix")
+    per = settle(targets(slim).withColumn("group", _group(F.col("source"))).drop("source"), "targets")
     if per.count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
-    bucket = bucket_of(F.col("key"), F.col("rows"))
-    slim = slim.join(per, "group").withColumn("bucket", bucket)
-    rows = rows.join(per, "group").withColumn("bucket", bucket) if keep else slim
-    rows = running_sum(rows, "group", "bucket", ["key", "doc_id", "size", "tie"], F.col("size"), "before", slim)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    rest = F.col("target") - epochs * F.col("source_size")
-    copies = epochs + F.when(F.col("before") + F.col("size") / 2 < rest, 1).otherwise(0)
+    slim = slim.drop("source").join(per, "group").withColumn("bucket", bucket_of(F.col("key"), F.col("rows")))
+    return running_sum(slim, "group", "bucket", ["key", "doc_id", "size", "tie"], F.col("size"), "before"), per
+
+
+def mix_documents(documents: DataFrame, seed: str = SEED) -> DataFrame:
+    """Per document row: size, source size, target, copies and words taken."""
+    rows, _ = _ordered(documents, seed)
+    copies = _epochs() + F.when(_beyond(), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, F.least(copies, F.lit(MOST_EPOCHS))).otherwise(F.lit(0)).cast("bigint")
     return rows.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"),
-                       copies.alias("copies"), *[F.col(f"__kept_{c}").alias(c) for c in keep])
+                       copies.alias("copies"))
 
 
 def mixed(documents: DataFrame, seed: str = SEED) -> DataFrame:
-    """The rows of ``documents`` that the mix takes, once for each copy."""
-    names = documents.columns
-    packed = documents.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in names]))
-    taken = mix_documents(packed, seed, ["__row"])
-    return (taken.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select("__row.*"))
+    """The rows of ``documents`` that the mix takes, once for each copy.
+
+    Texts are not dealt out: the slim order gives every source the last place that gets the
+    copy of the cut epoch, and rows are held against their source's place where they lie.
+    Only rows that share that place, repeats of one row, are numbered among themselves.
+    """
+    order = ["key", "doc_id", "size", "tie"]
+    slim, per = _ordered(documents, seed)
+    # The copy beyond the whole epochs goes to a beginning of the order: its last place and the rows there.
+    place = F.struct(*order)
+    cuts = (slim.where(_beyond()).groupBy("group", place.alias("place")).agg(F.count(F.lit(1)).alias("there"))
+            .groupBy("group").agg(F.max(F.struct("place", "there")).alias("last")))
+    cuts = per.join(cuts, "group", "left").select("group", _epochs().alias("epochs"), "last")
+    cuts = settle(cuts, "cuts")
+    if cuts.count() <= BROADCAST_SOURCES:
+        cuts = F.broadcast(cuts)
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("__row")
+    rows = documents.select(row, *_keyed(seed)).join(cuts, "group")
+    rows = rows.withColumn("__side", F.when(F.col("size") == 0, F.lit(None)).when(F.col("last").isNull(), 1)
+                           .when(place < F.col("last.place"), -1).when(place == F.col("last.place"), 0).otherwise(1))
+    sure = rows.where("__side <> 0").select("__row", (F.col("epochs") + F.when(F.col("__side") < 0, 1).otherwise(0)).alias("copies"))
+    tied = settle(rows.where("__side = 0").select("__row", "group", "epochs", F.col("last.there").alias("there")), "tied")
+    tied = tied.withColumns({"at": F.monotonically_increasing_id(), "bucket": F.spark_partition_id()})
+    tied = running_sum(tied, "group", "bucket", ["at"], F.lit(1), "before")
+    tied = tied.select("__row", (F.col("epochs") + F.when(F.col("before") < F.col("there"), 1).otherwise(0)).alias("copies"))
+    copies = F.least("copies", F.lit(MOST_EPOCHS)).cast("bigint")
+    taken = sure.union(tied).select("__row", copies.alias("copies")).where("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("__row.*")
