@@ -15,6 +15,8 @@ first few, the prefix, go to the shingles' index lists: two linked sets meet in
   of the component's centre are computed once, and a member's overlap with a visiting set
   follows from the centre's overlap and the few shingles in which member and centre differ.
   A visit is skipped when the bound from these numbers excludes the component.
+  Before whole texts move for a comparison, parity bitmaps that grow with the set (two to
+  four bits a shingle) are moved and exclude what cannot link, however long the texts are.
 
 No pairs are formed within a component, so a group of copies costs a row per member. Any
 pair in different components that could link is decided exactly.
@@ -55,8 +57,12 @@ SHORT = 32
 LIST_ROWS = 2_000_000
 #: Parity bitmap of a set, in 64-bit words (1024 bits).
 BITS = tuple(f"b{k}" for k in range(16))
+#: Sets of more shingles get a second parity bitmap, which grows with the set.
+WIDE_FROM = 256
 #: Members of a component that one task compares with its visitors.
 MEMBERS = 20_000
+#: Bytes of members' wide bitmaps that one task holds, on average.
+WIDE_BYTES = 64 << 20
 
 
 def shingles(piece: Piece, n: int = SHINGLE) -> list[np.ndarray]:
@@ -325,6 +331,128 @@ def _visits(percent: int):
     return run
 
 
+# ---------------------------------------------------------------- bitmaps that grow with the set
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Parity bitmap of two to four bits a shingle; its length is a power of two."""
+    bits = max(1024, 1 << (2 * len(s) - 1).bit_length())
+    ones = np.bincount((s >> np.uint64(24)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(ones.astype(np.uint8)).view(np.uint64)
+
+
+def fold(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set at a smaller power of two."""
+    return bitmap if len(bitmap) == words else np.bitwise_xor.reduce(bitmap.reshape(-1, words), axis=0)
+
+
+def _may(x: np.ndarray | None, y: np.ndarray | None, size_x: int, size_y: int, percent: int) -> bool:
+    """Whether two sets may link, by their sizes and as far as wide bitmaps tell (None: no bitmap)."""
+    apart = 0
+    if x is not None and y is not None:
+        words = min(len(x), len(y))
+        apart = int(np.bitwise_count(fold(x, words) ^ fold(y, words)).sum(dtype=np.int64))
+    return bool(linked(min(size_x, size_y, (size_x + size_y - apart) // 2), size_x, size_y, percent))
+
+
+def _unpacked(column: pa.Array) -> Iterator[np.ndarray | None]:
+    for value in column:
+        yield np.frombuffer(value.as_buffer(), np.uint64) if value.is_valid else None
+
+
+def _wide(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch.column("text")):
+                sets = shingles(piece, shingle)
+                wide = [parity(s).tobytes() if len(s) > WIDE_FROM else None for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("id").slice(piece.first, len(piece)), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array(wide, pa.binary())], names=["id", "n", "wide"])
+    return run
+
+
+def _near_pairs(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = zip(batch.column("n").to_pylist(), batch.column("pivot_n").to_pylist())
+            both = zip(_unpacked(batch.column("wide")), _unpacked(batch.column("pivot_wide")), sizes)
+            ok = pa.array([_may(x, y, *n, percent) for x, y, n in both], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(ok) for c in ("id", "pivot", "count")], names=["id", "pivot", "count"])
+    return run
+
+
+def _pairs_in_reach(pairs: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (id, pivot, count) that may link by their wide bitmaps."""
+    other = wide.select(F.col("id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("wide").alias("pivot_wide"))
+    rows = pairs.join(wide, "id").join(other, "pivot").select("id", "pivot", "count", "n", "wide", "pivot_n", "pivot_wide")
+    return rows.mapInArrow(_near_pairs(percent), "id bigint, pivot bigint, count bigint").distinct()
+
+
+class Held:
+    """Members of a component by the length of their wide bitmaps (0: none)."""
+
+    def __init__(self):
+        self.new, self.stacks = {}, {}
+
+    def add(self, bitmap: np.ndarray | None, n: int) -> None:
+        self.new.setdefault(0 if bitmap is None else len(bitmap), []).append((bitmap, n))
+
+    def may(self, bitmap: np.ndarray | None, n: int, percent: int) -> bool:
+        """Whether some member may link with the visiting set."""
+        for words, rows in self.new.items():
+            self.stacks[words] = (np.stack([b for b, _ in rows]) if words else None, np.array([m for _, m in rows]))
+        self.new = {}
+        for words, (bitmaps, sizes) in self.stacks.items():
+            ok = np.flatnonzero(linked(np.minimum(sizes, n), n, sizes, percent))
+            if not len(ok) or bitmap is None or not words:
+                if len(ok):
+                    return True
+                continue
+            both = min(words, len(bitmap))
+            step = max(1, (1 << 20) // words)
+            for k in range(0, len(ok), step):  # 8 MB of bitmaps at a time
+                at = ok[k:k + step]
+                mine = np.bitwise_xor.reduce(bitmaps[at].reshape(len(at), -1, both), axis=1)
+                apart = np.bitwise_count(mine ^ fold(bitmap, both)).sum(axis=1, dtype=np.int64)
+                if linked((sizes[at] + n - apart) // 2, n, sizes[at], percent).any():
+                    return True
+        return False
+
+
+def _near_families(percent: int):
+    """Rows of one family follow each other, members (1) before visitors (2): visitors that may link with a member."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, Held()
+        for batch in batches:
+            found = ([], [])
+            columns = (batch.column(c).to_pylist() for c in ("comp", "part", "kind", "id", "n"))
+            for comp, part, kind, id_, n, bitmap in zip(*columns, _unpacked(batch.column("wide"))):
+                if (comp, part) != now:
+                    now, held = (comp, part), Held()
+                if kind == 1:
+                    held.add(bitmap, n)
+                elif held.may(bitmap, n, percent):
+                    found[0].append(id_)
+                    found[1].append(comp)
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["id", "comp"])
+    return run
+
+
+def _visits_in_reach(visits: DataFrame, labels: DataFrame, wide: DataFrame, percent: int) -> DataFrame:
+    """Those of the visits (id, comp, members) that may link by the members' wide bitmaps."""
+    members = labels.join(visits.select("comp").distinct(), "comp", "left_semi").join(wide, "id")
+    # Four bits a shingle at most.
+    parts = members.groupBy("comp").agg(
+        (F.floor(F.greatest(F.sum("n") / (2 * WIDE_BYTES), F.count(F.lit(1)) / MEMBERS)) + 1).alias("parts"))
+    every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part")
+    rows = (members.join(parts, "comp").select("comp", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.lit(1).alias("kind"), "id", "n", "wide")
+            .union(visits.join(parts, "comp").select("comp", "id", every).join(wide, "id")
+                   .select("comp", "part", F.lit(2).alias("kind"), "id", "n", "wide")))
+    rows = rows.repartition("comp", "part").sortWithinPartitions("comp", "part", "kind", "id")
+    near = rows.mapInArrow(_near_families(percent), "id bigint, comp bigint").distinct()
+    return visits.join(near, ["id", "comp"], "left_semi")
+
+
 # ---------------------------------------------------------------- exact comparisons
 
 def _compare(percent: int, shingle: int):
@@ -470,7 +598,9 @@ def _join(documents: DataFrame, percent: int, shingle: int) -> tuple[DataFrame,
     looks = settle(sets.select("id", "n", *BITS).join(ids, "id", "left_semi").distinct(), "looks")
     texts = settle(nodes.join(ids, "id", "left_semi").select("id", "text").distinct(), "texts")
     labels = ids.select("id", F.col("id").alias("comp"))
-    pairs = settle(shared.where("pivot is not null").groupBy("id", "pivot").count(), "pairs")
+    wide = settle(texts.mapInArrow(_wide(shingle), "id bigint, n bigint, wide binary"), "wide")
+    pairs = shared.where("pivot is not null").groupBy("id", "pivot").count()
+    pairs = settle(_pairs_in_reach(pairs, wide, percent), "pairs")
     best = pairs.groupBy("id").agg(F.max(F.struct("count", "pivot"))["pivot"].alias("x"))
     labels = merge(labels, _links(best.select("x", F.col("id").alias("y")), texts, percent, shingle))
     rest = settle(_split(pairs.select(F.col("pivot").alias("x"), F.col("id").alias("y")), labels), "rest")
@@ -490,6 +620,7 @@ def _join(documents: DataFrame, percent: int, shingle: int) -> tuple[DataFrame,
         visits = settle(visits, "visits")
         if visits.isEmpty():
             break
+        visits = settle(_visits_in_reach(visits, labels, wide, percent), "visits")
         labels = merge(labels, _visit_links(visits, labels, votes, texts, percent, shingle))
     return sets.select("doc_id", "id", "n", "a", "b"), labels
 

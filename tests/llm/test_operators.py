@@ -121,8 +121,35 @@ def test_mix_meets_targets(docs, empty):
     assert mixing.mixed(empty).count() == 0
 
 
+def test_mixed_rows_are_the_taken_copies(spark):
+    # Many repeats of one row straddle the cut; extra columns come along.
+    rows = [(k, f"w {'x ' * (k % 7)}", s) for s in ("a", "b", "c", None) for k in range(20)] + [(5, "one two three", "a")] * 60
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    wanted = Counter()
+    for r in mixing.mix_documents(docs).collect():
+        wanted[r.doc_id, r["size"], r.source_size] += r.copies
+    size = F.size(F.split(F.trim("text"), " ")).cast("bigint")
+    totals = docs.groupBy("source").agg(F.sum(size).alias("source_size"))
+    got = (mixing.mixed(docs).withColumn("size", size).alias("m").join(totals.alias("t"), F.col("m.source").eqNullSafe(F.col("t.source")))
+           .groupBy("doc_id", "size", "source_size").count().collect())
+    assert Counter({(r.doc_id, r["size"], r.source_size): r["count"] for r in got}) == +wanted
+
+
+def test_wide_bitmaps_bound_the_difference():
+    for n, own in ((300, 40), (5000, 200), (5000, 3000)):
+        base = [rng.getrandbits(64) for _ in range(n)]
+        x = np.unique(np.array(base, np.uint64))
+        y = np.unique(np.array(base[own:] + [rng.getrandbits(64) for _ in range(own // 2)], np.uint64))
+        common, words = len(np.intersect1d(x, y)), min(len(jaccard.parity(x)), len(jaccard.parity(y)))
+        apart = np.bitwise_count(jaccard.fold(jaccard.parity(x), words) ^ jaccard.fold(jaccard.parity(y), words)).sum()
+        assert apart <= len(x) + len(y) - 2 * common
+        assert jaccard._may(jaccard.parity(x), jaccard.parity(y), len(x), len(y), 80) >= jaccard.linked(common, len(x), len(y), 80)
+    assert not jaccard._may(jaccard.parity(x), jaccard.parity(y), len(x), len(y), 80)
+
+
 @pytest.mark.parametrize("percent, size, list_rows", [(90, 3, None), (80, 5, None), (80, 3, 4)])
 def test_near_copies_equal_brute_force(docs, empty, monkeypatch, percent, size, list_rows):
+    monkeypatch.setattr(jaccard, "WIDE_FROM", 5)
     if list_rows:  # every index list of more entries is cut into lists of two parts each
         monkeypatch.setattr(jaccard, "LIST_ROWS", list_rows)
 
