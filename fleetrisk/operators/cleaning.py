@@ -14,12 +14,17 @@ _LETTERS = 26
 
 
 def placeholder_plate(index: Column) -> Column:
-    """Plate ``A`` + two letters + four digits for a running index."""
+    """Plate ``A`` + two letters + four digits for a running index.
+
+    When all of these are used up, a round number goes in front of the letters, so no plate repeats.
+    """
+    used_up = F.floor(index / F.lit(_SUFFIXES * _LETTERS * _LETTERS))
     prefix = F.pmod(F.floor(index / F.lit(_SUFFIXES)), F.lit(_LETTERS * _LETTERS)).cast("int")
     first, second = F.floor(prefix / F.lit(_LETTERS)).cast("int"), F.pmod(prefix, F.lit(_LETTERS))
     letter = lambda i: F.char(F.lit(65) + i)
     suffix = (F.pmod(index, F.lit(_SUFFIXES)) + F.lit(1000)).cast("string")
-    return F.concat(F.lit("A"), letter(first), letter(second), F.lpad(suffix, 4, "0"))
+    rounds = F.when(used_up > 0, used_up.cast("string")).otherwise(F.lit(""))
+    return F.concat(F.lit("A"), rounds, letter(first), letter(second), F.lpad(suffix, 4, "0"))
 
 
 def fill_plates(df: DataFrame, order_by: str | None = None) -> DataFrame:

@@ -19,7 +19,9 @@ from fleetrisk.functions.columns import num, stamp
 
 LINEAR_BUCKETS = 4096
 HASH_BUCKETS = 1024
-_BUCKET = ["__lin", "__log"]
+#: Distinct values (or rows to number) of a bucket, above which it is cut again.
+BUCKET_ROWS = 20_000
+_BUCKET = ["__lin", "__log", "__fine"]
 
 
 def _with_buckets(counts: DataFrame, source: DataFrame, value: str) -> DataFrame:
@@ -40,6 +42,24 @@ def _with_buckets(counts: DataFrame, source: DataFrame, value: str) -> DataFrame
                                "__log": F.coalesce(log.cast("int"), F.lit(0))}).drop("__span")
 
 
+def _cut_again(counts: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """Add a third bucket number: a bucket of too many rows is cut into equal widths of its own range.
+
+    Values that crowd together beside far outliers fall into one bucket of the first cut.
+    Range and row count of a bucket are exact, so this cut too is the same in every evaluation.
+    """
+    finite = F.greatest(F.least(F.col(value), F.lit(1e300)), F.lit(-1e300))
+    first = [*keys, "__lin", "__log"]
+    spans = counts.groupBy(*first).agg(F.min(finite).alias("__lo"), F.max(finite).alias("__hi"),
+                                       F.ceil(F.count(F.lit(1)) / F.lit(BUCKET_ROWS)).alias("__parts"))
+    # Buckets of moderate size, which is nearly all of them, need no entry.
+    spans = spans.filter((F.col("__parts") > 1) & (F.col("__hi") > F.col("__lo")))
+    share = (finite - F.col("__lo")) / (F.col("__hi") - F.col("__lo"))
+    fine = F.coalesce(F.floor(share * F.col("__parts")).cast("bigint"), F.lit(0).cast("bigint"))
+    return (counts.join(spans, first, "left").withColumn("__fine", fine)
+            .drop("__lo", "__hi", "__parts"))
+
+
 def _sequenced(counts: DataFrame, buckets: Sequence[str], measures: Sequence[str],
                keys: Sequence[str], keep: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """Join each row's bucket offsets (``<m>__off``) and key totals (``<m>_total``)."""
@@ -67,7 +87,7 @@ def prefix_sums(df: DataFrame, value: str, measures: Mapping[str, Column], keys:
     present = F.col(value).isNotNull()
     counts = source.groupBy(*keys, value).agg(*[
         F.coalesce(F.sum(F.when(present, m)), F.lit(0)).alias(name) for name, m in measures.items()])
-    counts = _with_buckets(counts, source, value)
+    counts = _cut_again(_with_buckets(counts, source, value), value, keys)
     names = list(measures)
     placed = _sequenced(counts, _BUCKET, names, keys, keep)
     inside = (Window.partitionBy(*keys, *_BUCKET).orderBy(value)
@@ -162,6 +182,7 @@ def dense_numbers(df: DataFrame, name: str, order_by: str | None = None, chunk:
               if kind.startswith("timestamp") or kind == "date" else num(df, order_by))
         at = F.coalesce(at, F.lit(1e300))
         counted = _with_buckets(counted.withColumn("__at", at), df.select(at.alias("__at")), "__at")
+        counted = _cut_again(counted, "__at", [])
         buckets, order = _BUCKET, ["__at", "__hash"]
     placed = _sequenced(counted, buckets, ["__n"], [])
     inside = (Window.partitionBy(*buckets).orderBy(*order, *cols)

@@ -112,8 +112,9 @@ def test_clean_portfolio_edges(spark):
 
 
 def test_placeholder_plate_carry(spark):
-    df = spark.createDataFrame([(0,), (8999,), (9000,), (9000 * 26,), (9000 * 676,)], "i long")
-    assert one(df.orderBy("i"), cleaning.placeholder_plate(F.col("i"))) == ["AAA1000", "AAA9999", "AAB1000", "ABA1000", "AAA1000"]
+    df = spark.createDataFrame([(0,), (8999,), (9000,), (9000 * 26,), (9000 * 676 - 1,), (9000 * 676,), (2 * 9000 * 676,)], "i long")
+    assert one(df.orderBy("i"), cleaning.placeholder_plate(F.col("i"))) == [
+        "AAA1000", "AAA9999", "AAB1000", "ABA1000", "AZZ9999", "A1AA1000", "A2AA1000"]
 
 
 def test_identical_rows_get_their_own_numbers(spark):

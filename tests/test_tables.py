@@ -39,6 +39,16 @@ def test_entry_and_keys(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_crowded_values_beside_an_outlier_are_cut_again(spark):
+    df = spark.range(100_000).select((F.lit(100.0) + F.col("id") / 100_000).alias("v")).union(spark.sql("SELECT 1e12D AS v"))
+    counts = df.groupBy("v").count()
+    cut = ranks._cut_again(ranks._with_buckets(counts, df, "v"), "v", [])
+    largest = cut.groupBy(*ranks._BUCKET).count().agg(F.max("count")).first()[0]
+    assert largest <= 1.1 * ranks.BUCKET_ROWS
+    got = ranks.grouped_quantiles(df, "v", {"a": 0.25, "b": 0.5}).first()
+    assert (got["a"], got["b"]) == (pytest.approx(100.25), pytest.approx(100.5))
+
+
 def test_quantiles_on_a_hot_value(spark):
     random.seed(1)
     values = [5.0] * 400 + [random.gauss(0, 1e3) for _ in range(300)] + [1e12, -1e12] + [None] * 5
