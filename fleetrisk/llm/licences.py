@@ -1,16 +1,21 @@
 """Licence scans by sentence rules.
 
-Every sentence of a text that mentions a licence is normalised (lower case, runs of other
-characters than letters, digits, ``.`` and ``+`` become one space, final stops go) and
-looked up among the known licence sentences. What is left is the text's sequence of sentence
-identifiers. Licence rules are ordered sequences of identifiers; from left to right the
-longest rule that matches at a place names a licence and uses up its sentences.
+A text is cut into fragments at its line ends, at list marks and behind ``.!?;:``, and each is
+normalised (lower case, runs of other characters than letters, digits, ``.`` and ``+`` become
+one space, outer stops go; comment marks go with them). Known sentences are cut and normalised
+alike. From every fragment on, the longest run of whole fragments whose words are a known
+sentence is found in a tree of words, so neither line breaks nor stops inside a sentence
+matter. A copyright notice up to its ``all rights reserved`` is a known sentence, whoever holds
+the right. What is left is the text's sequence of sentence identifiers. Licence rules are
+ordered sequences of identifiers; from left to right the longest rule that matches at a place
+names a licence and uses up its sentences. ``all-rights`` right before a licence belongs to it.
 
 Only texts with a trigger word are split at all; every known sentence holds one, so no match
 is lost. Sentences of any length and whole texts are read.
 
 Defined results. NULL, empty and other texts without a licence sentence give empty lists.
-Sentences with a trigger word that no table knows are counted as unknown. Repeated rows are
+Sentences with a trigger word outside their known parts are counted as unknown; they end
+behind ``.!?:`` (not behind ``v.``), at blank lines and at list items. Repeated rows are
 judged alike. Other columns are not read.
 """
 
@@ -24,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRIGGER = r"licen[sc]|copyright|copyleft|warrant|redistribut|permission|public domain"
+TRIGGER = r"licen[sc]|copyright|copyleft|warrant|redistribut|permission|public\W+domain"
 
 #: Known sentences, normalised; several wordings may share an identifier.
 SENTENCES = {
@@ -84,30 +89,101 @@ RULES = [
     ("Unlicense", ("unlicense",)), ("LicenseRef-Proprietary", ("all-rights",)),
 ]
 
-_BREAK = re.compile(r"(?<=[.!?;:])\s+|\n+")
+RULES += [(licence, ("all-rights", *ids)) for licence, ids in RULES if ids != ("all-rights",)]
+
+_STOP = re.compile(r"(?<=[.!?;:])\s+")
+_SENTENCE_END = re.compile(r"(?<!\bv\.)(?<=[.!?:])$", re.IGNORECASE)
+#: A list mark with a bracket (one with a stop is cut off as a fragment anyhow) or a comment mark made of letters.
+_MARK = re.compile(r"[^\w\n]*(?:\(?(?:\d{1,2}|[a-z]|[ivx]{1,4})\)|(dnl|rem)\b)\s+", re.IGNORECASE)
 _OTHER = re.compile(r"[^a-z0-9.+]+")
 _TRIGGER = re.compile(TRIGGER)
-_KNOWN = {s: name for name, wordings in SENTENCES.items() for s in wordings}
+_YEAR = re.compile(r"(?:19|20)\d\d")
+_RESERVED = ["all", "rights", "reserved"]
+#: Most words from a copyright mark to its "all rights reserved".
+_NOTICE_WORDS = 60
 _FIRST = {}
 for _licence, _ids in sorted(RULES, key=lambda rule: -len(rule[1])):
     _FIRST.setdefault(_ids[0], []).append((_licence, _ids))
 
 
 def normalise(sentence: str) -> str:
-    return _OTHER.sub(" ", sentence.lower()).strip(" .")
+    return _OTHER.sub(" ", sentence.lower()).strip(" .+")
+
+
+def fragments(text: str) -> list[tuple[list[str], str, int]]:
+    """(words, lower-case text, sentence) of every fragment; the sentences are numbered from 1, paragraphs apart by 2 or more."""
+    out, sentence = [], 1
+    for line in text.split("\n"):
+        if not normalise(line):
+            sentence += 2
+            continue
+        mark = _MARK.match(line)
+        if mark and mark.end() < len(line):
+            sentence += not mark[1]
+            line = line[mark.end():]
+        for part in _STOP.split(line.strip()):
+            words = normalise(part).split()
+            if words:
+                out.append((words, part.lower(), sentence))
+            sentence += bool(_SENTENCE_END.search(part))
+    return out
+
+
+_TREE: dict = {}
+for _name, _wordings in SENTENCES.items():
+    for _wording in _wordings:
+        _node = _TREE
+        for _words, _, _ in fragments(_wording):
+            for _word in _words:
+                _node = _node.setdefault(_word, {})
+        _node[None] = _name
+
+
+def _known(parts: list, at: int) -> tuple[str | None, int]:
+    """The longest known sentence from fragment ``at`` on, and the fragment behind it."""
+    node, found = _TREE, (None, at)
+    for k in range(at, len(parts)):
+        for word in parts[k][0]:
+            node = node.get(word)
+            if node is None:
+                return found
+        if None in node:
+            found = node[None], k + 1
+    return found
+
+
+def _notice(parts: list, at: int) -> int:
+    """The fragment behind a copyright notice that ends in "all rights reserved"; ``at`` if there is none."""
+    if "copyright" not in parts[at][0][:3]:
+        return at
+    words: list[str] = []
+    for k in range(at, len(parts)):
+        if k > at and (parts[k][2] > parts[k - 1][2] + 1 or _known(parts, k)[0]):
+            return at
+        words += parts[k][0]
+        if words[-3:] == _RESERVED:
+            marked = parts[k][0] == _RESERVED or "c" in words or "\u00a9" in parts[at][1] or any(map(_YEAR.match, words))
+            return k + 1 if marked else at
+        if len(words) > _NOTICE_WORDS:
+            return at
+    return at
 
 
 def sentence_ids(text: str) -> tuple[list[str], int]:
     """Identifiers of the text's known licence sentences in order, and the number of unknown ones."""
-    ids, unknown = [], 0
-    for sentence in _BREAK.split(text):
-        if _TRIGGER.search(sentence.lower()) or ids:
-            name = _KNOWN.get(normalise(sentence))
-            if name:
-                ids.append(name)
-            elif _TRIGGER.search(sentence.lower()):
-                unknown += 1
-    return ids, unknown
+    parts = fragments(text)
+    ids, rest, at = [], {}, 0
+    while at < len(parts):
+        name, end = _known(parts, at)
+        if name is None and (end := _notice(parts, at)) > at:
+            name = "all-rights"
+        if name:
+            ids.append(name)
+            at = end
+        else:
+            rest.setdefault(parts[at][2], []).append(parts[at][1])
+            at += 1
+    return ids, sum(bool(_TRIGGER.search(" ".join(part))) for part in rest.values())
 
 
 def match_rules(ids: list[str]) -> list[str]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -245,6 +246,38 @@ def test_licences(docs, empty):
     assert licences.scan_licences(empty).count() == 0
 
 
+def test_wrapped_licences_are_found(spark):
+    cut = lambda text, width, mark: "\n".join(mark + line for line in textwrap.wrap(text, width))
+    for width, mark in ((72, ""), (78, " * "), (40, "# "), (25, "// "), (60, "dnl ")):
+        for licence, ids in licences.RULES:  # the first wording of each sentence, wrapped, as paragraphs
+            text = f"{mark}\n".join(cut(licences.SENTENCES[k][0].capitalize() + ".", width, mark) + "\n" for k in ids)
+            assert licences.sentence_ids(text) == (list(ids), 0), (licence, width, mark)
+            assert licences.match_rules(list(ids)) == [licence]
+    gpl = ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License "
+           "as published by\nthe Free Software Foundation; either version 2 of the License, or\n(at your option) any later version.\n\n"
+           "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+           "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n")
+    mpl = ("/* This Source Code Form is subject to the terms of the Mozilla Public License,\n * v. 2.0. If a copy of the MPL was not "
+           "distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/. */\n")
+    bsd = ("Copyright (c) 2020, X Inc. and\nothers. All rights reserved.\n\nRedistribution and use in source and binary forms, with or without\n"
+           "modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the "
+           "above copyright notice, this\n   list of conditions and the following disclaimer.\n\n2) Redistributions in binary form must reproduce "
+           "the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials "
+           "provided with the distribution.\n")
+    apache = ("# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the "
+              "License.\n# You may obtain a copy of the License at\n#\n#     http://www.apache.org/licenses/LICENSE-2.0\n#\n# Unless required by "
+              "applicable law or agreed to in writing, software\n# distributed under the License is distributed on an \"AS IS\" BASIS,\n# WITHOUT "
+              "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n# See the License for the specific language.\n")
+    unlicense = "This is free and unencumbered software released into the public\ndomain."
+    texts = {"GPL-2.0-or-later": gpl, "MPL-2.0": mpl, "BSD-2-Clause": bsd, "Apache-2.0": apache, "Unlicense": unlicense,
+             "LicenseRef-Proprietary": "Copyright (c) 2020 X. All rights reserved.", "MIT": "some title\nReleased under the MIT License\nmore prose"}
+    frame = spark.createDataFrame(list(enumerate(texts.values())), "doc_id bigint, text string")
+    assert [r.licences for r in sorted(licences.scan_licences(frame).collect())] == [[x] for x in texts]
+    assert licences.sentence_ids(gpl)[0] == ["gpl-2-redistribute", "gpl-no-warranty"]
+    assert licences.sentence_ids(apache) == (["apache-2-licensed", "apache-2-comply", "apache-2-copy", "apache-2-basis"], 1)
+    assert licences.sentence_ids("A licence that is\nwrapped; one licence.\n\nCopyright law is not all rights reserved.") == ([], 2)
+
+
 def test_lines(spark, docs, empty):
     rows = {r.doc_id: r for r in lines.dedup_lines(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).collect()}
     assert rows[len(TEXTS) - 1].n_lines == 3 and rows[len(TEXTS) - 1].n_exact == 1
