@@ -6,14 +6,14 @@ smallest one; a text that is far from all languages is rejected. Short texts hav
 histograms, so each comparison has a least length below which it says nothing.
 
 References are counted over all documents that have a language and pass the base rules.
-Word counts are kept in bounded memory by lossy counting: a task drops words that make up
-less than ``EPSILON`` of the words it has seen, so a share is too low by ``EPSILON`` at
-most. Languages with less than ``LEAST_SHARE`` of all words get no reference; so there are
-1 / LEAST_SHARE references at most, whatever the column holds.
+Words are counted exactly: a task hands its counts on whenever it holds ``HELD_WORDS`` of
+them, and they are summed by language and word. Every language with ``LEAST_REFERENCE`` such
+words gets a reference, whatever else the table holds; documents of a language with fewer are
+judged by the base rules alone. The references stand on the driver and in every task.
 
 Defined results. NULL, empty and blank texts have no words and fail the base rules. Without
-any reference (empty table, no languages) the base rules alone decide. Repeated rows are
-judged alike, row by row. Columns other than doc_id, text and lang are never read by the
+any reference (empty table, no languages) the base rules alone decide. Rows without a language
+are held against all references. Repeated rows are judged alike, row by row. Columns other than doc_id, text and lang are never read by the
 measures; the filter hands them on.
 """
 
@@ -33,8 +33,10 @@ LEAST_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
 COMMON_WORDS = 100
-EPSILON = 0.0005
-LEAST_SHARE = 0.001
+#: Words of a language that a reference needs.
+LEAST_REFERENCE = 1000
+#: Counts that a task holds before it hands them on.
+HELD_WORDS = 1 << 19
 #: Least length for the comparison of character classes (bytes) and of common words.
 LEAST_CHARS = 400
 LEAST_COMMON_TEXT = 50
@@ -135,11 +137,30 @@ def distance(counts: np.ndarray, share: np.ndarray) -> np.ndarray:
     return np.sqrt(np.clip((a + b) / 2, 0, 1))
 
 
+_KINDS = pa.schema([("lang", pa.string()), ("kind", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
+
+
+def _counts(lang: str, kind: str, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    n = len(keys)
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), n), pa.repeat(pa.scalar(kind, pa.string()), n),
+                                       pa.array(keys, pa.int64()), pa.array(counts, pa.int64())], schema=_KINDS)
+
+
+def _summed(held: dict[str, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+    """The held word counts, one row per language and word."""
+    for lang, parts in held.items():
+        value, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+        count = np.zeros(len(value), np.int64)
+        np.add.at(count, at, np.concatenate([c for _, c in parts]))
+        yield _counts(lang, "word", value.view(np.int64), count)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per language: character classes and frequent words of the task's documents."""
+    """Per language: character classes and words of the task's documents; a word may come in several rows."""
     classes: dict[str, np.ndarray] = {}
     seen: dict[str, int] = {}
-    common: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
     for batch in batches:
         langs = batch.column("lang")
         for piece in pieces(batch.column("text")):
@@ -155,28 +176,15 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 classes[lang] = classes.get(lang, 0) + by_class[code == k].sum(axis=0)
                 seen[lang] = seen.get(lang, 0) + len(words)
-                value, count = np.unique(words, return_counts=True)
-                if lang in common:
-                    value = np.concatenate([common[lang][0], value])
-                    count = np.concatenate([common[lang][1], count])
-                    value, at = np.unique(value, return_inverse=True)
-                    count = np.bincount(at, count).astype(np.int64)
-                if len(value) > 1 << 18:
-                    least = count > EPSILON * seen[lang]
-                    value, count = value[least], count[least]
-                common[lang] = (value, count)
-    rows: dict[str, list] = {"lang": [], "kind": [], "key": [], "n": []}
+                held.setdefault(lang, []).append(np.unique(words, return_counts=True))
+                size += len(held[lang][-1][0])
+            if size > HELD_WORDS:
+                yield from _summed(held)
+                held, size = {}, 0
+    yield from _summed(held)
     for lang, by_class in classes.items():
-        value, count = common[lang]
-        often = count > EPSILON * seen[lang]
-        for kind, keys, counts in (("all", [0], [seen[lang]]), ("class", range(len(CLASSES)), by_class.tolist()),
-                                   ("word", value[often].view(np.int64).tolist(), count[often].tolist())):
-            rows["lang"] += [lang] * len(counts)
-            rows["kind"] += [kind] * len(counts)
-            rows["key"] += list(keys)
-            rows["n"] += counts
-    yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("lang", pa.string()), ("kind", pa.string()),
-                                                             ("key", pa.int64()), ("n", pa.int64())]))
+        yield _counts(lang, "all", np.zeros(1, np.int64), np.array([seen[lang]]))
+        yield _counts(lang, "class", np.arange(len(CLASSES)), by_class)
 
 
 def references(documents: DataFrame) -> DataFrame:
@@ -184,8 +192,9 @@ def references(documents: DataFrame) -> DataFrame:
     counts = (documents.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
               .mapInArrow(_count, "lang string, kind string, key bigint, n bigint")
               .groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")))
+    # The other kinds have fewer rows than that; a bound on the rank alone is kept to before the shuffle.
     rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))
-    return counts.withColumn("rank", rank).where((F.col("kind") != "word") | (F.col("rank") <= COMMON_WORDS)).drop("rank")
+    return counts.withColumn("rank", rank).where(F.col("rank") <= COMMON_WORDS).drop("rank")
 
 
 class Reference:
@@ -195,12 +204,12 @@ class Reference:
         table: dict[str, dict[str, list]] = {}
         for lang, kind, key, n in rows:
             table.setdefault(lang, {}).setdefault(kind, []).append((key, n))
-        total = sum(x["all"][0][1] for x in table.values())
-        self.classes, self.words = [], []
+        self.langs, self.classes, self.words = [], [], []
         for lang in sorted(table):
             n_words = table[lang]["all"][0][1]
-            if n_words < LEAST_SHARE * total:
+            if n_words < LEAST_REFERENCE:
                 continue
+            self.langs.append(lang)
             by_class = np.zeros(len(CLASSES))
             for key, n in table[lang]["class"]:
                 by_class[key] = n
@@ -228,15 +237,17 @@ class Reference:
             words = np.minimum(words, distance(counts, share))
         return chars, words
 
-    def verdict(self, piece: Piece, m: Measures) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distances and whether the row is kept."""
+    def verdict(self, piece: Piece, m: Measures, langs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distances and whether the row is kept; ``langs`` are those of the piece's batch."""
         if not self.classes:
             none = np.zeros(len(piece))
             return none, none, ~m.failed
         chars, words = self.distances(piece, m)
         odd = (np.diff(piece.starts) >= LEAST_CHARS) & (chars > MOST_CHAR_DISTANCE)
         odd |= (m.n_words >= LEAST_COMMON_TEXT) & (words > MOST_WORD_DISTANCE)
-        return chars, words, ~m.failed & ~odd
+        own = langs.slice(piece.first, len(piece)).cast(pa.string())
+        known = pc.or_(pc.is_null(own), pc.is_in(own, pa.array(self.langs, pa.string()))).to_numpy(zero_copy_only=False)
+        return chars, words, ~m.failed & ~(odd & known)
 
 
 def measure(documents: DataFrame) -> DataFrame:
@@ -247,14 +258,15 @@ def measure(documents: DataFrame) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch.column("text")):
                 m = Measures(piece)
-                chars, words, kept = reference.verdict(piece, m)
+                chars, words, kept = reference.verdict(piece, m, batch.column("lang"))
                 columns = [m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(piece.first, len(piece)), *[pa.array(c, pa.int64()) for c in columns],
                      *map(pa.array, (m.failed, chars, words, kept))],
                     names=["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                            "base_failed", "char_distance", "word_distance", "kept"])
-    frame = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    frame = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                             F.col("lang").cast("string").alias("lang"))
     return frame.mapInArrow(run, _COUNTS)
 
 
@@ -265,6 +277,6 @@ def keep_good(documents: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch.column("text")):
-                kept = reference.verdict(piece, Measures(piece))[2]
+                kept = reference.verdict(piece, Measures(piece), batch.column("lang"))[2]
                 yield batch.slice(piece.first, len(piece)).filter(pa.array(kept))
     return documents.mapInArrow(run, documents.schema)

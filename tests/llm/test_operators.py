@@ -225,6 +225,40 @@ def test_quality_counts_equal_brute_force(docs, empty):
     assert quality.measure(empty).count() == 0 and quality.keep_good(docs).schema == docs.schema
 
 
+def test_a_rare_language_is_not_held_against_others(spark):
+    draw = random.Random(8)
+    latin = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 7))) for _ in range(300)]
+    greek = ["".join(draw.choice("αβγδεζηθικ") for _ in range(draw.randint(2, 7))) for _ in range(20)]
+    text = lambda words, n: " ".join(draw.choice(words) for _ in range(n))
+    rows = [(k, text(latin, 800), "la") for k in range(100)] + [(100, text(greek, 70), "el"), (101, text(greek, 70), "la"), (102, text(greek, 70), None)]
+    rows += [(103, text(greek, 5), "el")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    kept = lambda frame: {r.doc_id for r in quality.measure(frame).where("kept and doc_id >= 100").collect()}
+    assert kept(docs) == {100} and {r.doc_id for r in quality.keep_good(docs).where("doc_id >= 100").collect()} == {100}
+    more = docs.union(spark.createDataFrame([(200, text(greek, 600), "el"), (201, text(greek, 600), "el")], docs.schema))
+    assert kept(more.where("doc_id < 10 or doc_id >= 100")) == kept(more) == {100, 101, 102, 200, 201}
+
+
+def test_reference_counts_are_exact(spark, docs, monkeypatch):
+    def count(batches):  # tasks hand their counts on after every piece
+        quality.HELD_WORDS = 1
+        yield from exact(batches)
+    exact = quality._count
+    monkeypatch.setattr(quality, "_count", count)
+    failed = {(r.doc_id, r.n_words): r.base_failed for r in quality.measure(docs).collect()}
+    words = defaultdict(Counter)
+    for doc_id, text, lang, *_ in ROWS:
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        if lang is not None and not failed[doc_id, len(w)]:
+            words[lang].update(w)
+    got = defaultdict(list)
+    for r in quality.references(docs).collect():
+        got[r.lang, r.kind].append(r.n)
+    for lang, counts in words.items():
+        assert got[lang, "all"] == [sum(counts.values())] and len(got[lang, "class"]) == len(quality.CLASSES)
+        assert sorted(got[lang, "word"], reverse=True) == [n for _, n in counts.most_common(quality.COMMON_WORDS)]
+
+
 def test_divergence_bounds():
     same = np.array([0.5, 0.25, 0.25])
     assert quality.distance(np.array([[2, 1, 1]]), same)[0] < 1e-9
