@@ -21,8 +21,10 @@ so a large group of copies costs a row per copy and one context per anchor.
 
 Defined results. NULL texts are empty: no bytes, nothing removed, the checksum of no bytes.
 Texts shorter than ``LENGTH`` lose nothing. Rows without a doc_id come after all others.
-Repeated rows are the same document and are judged alike; texts that share a doc_id are
-judged by their start. An empty table gives no rows. Other columns are not read.
+A document is named by its doc_id and its text's fingerprints (64 bits and a tag of 16 more):
+repeated rows are the same document and are judged alike; different texts that share a doc_id,
+or have none, follow each other by fingerprint. An empty table gives no rows. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -265,26 +267,27 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, texts = None, {}
     for batch in batches:
         raw, at = utf8(batch.column("text"))
-        ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag"))
+        ids, f1, places = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "f1", "place"))
+        tags = places & _TAG
         is_text = batch.column("text").is_valid().to_numpy(zero_copy_only=False)
-        places = batch.column("place").fill_null(0).to_numpy(zero_copy_only=False)
         hashes = batch.column("anchor").fill_null(0).to_numpy(zero_copy_only=False)
         rows, found = [], []
         for k in range(batch.num_rows):
             if is_text[k]:
-                if ids[k] != now:
-                    now, texts = ids[k], {}
-                texts[tags[k]] = raw[at[k]:at[k + 1]].tobytes()
-            elif ids[k] == now and tags[k] in texts:
+                if (ids[k], f1[k]) != now:
+                    now, texts = (ids[k], f1[k]), {}
+                if tags[k] not in texts:
+                    texts[tags[k]] = raw[at[k]:at[k + 1]].tobytes()
+            elif (ids[k], f1[k]) == now and tags[k] in texts:
                 begin, count = int(places[k]) >> 23, (int(places[k]) >> 16) & 127
                 rows.append(k)
                 found.append(texts[tags[k]][begin:begin + count - 1 + LENGTH])
         rows = np.array(rows, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[rows]), pa.array(ids[rows]), pa.array(places[rows]),
-                                          pa.array(found, pa.binary())], names=["anchor", "id", "place", "bytes"])
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[rows]), pa.array(ids[rows]), pa.array(f1[rows]), pa.array(places[rows]),
+                                          pa.array(found, pa.binary())], names=["anchor", "id", "f1", "place", "bytes"])
 
 
-def _block(anchor, ids, places, raw, at) -> pa.RecordBatch:
+def _block(anchor, ids, f1, places, raw, at) -> pa.RecordBatch:
     """Removed byte ranges of the contexts of some anchors, all of an anchor's contexts."""
     key = mix(span_hashes(raw, at[:-1], at[1:]) ^ mix(anchor.view(np.uint64)))
     _, first, copy_of = np.unique(key, return_index=True, return_inverse=True)
@@ -303,10 +306,11 @@ def _block(anchor, ids, places, raw, at) -> pa.RecordBatch:
             begins[int(chosen[k])] = np.flatnonzero(hit[starts[k]:starts[k + 1]])
     start = places >> 23
     count = (places >> 16) & 127
-    moved = (ids != ids[source]) | (start != start[source])
-    out_id, out_tag, out_begin, out_end = [], [], [], []
+    moved = (ids != ids[source]) | (f1 != f1[source]) | (places != places[source])
+    out_id, out_f1, out_tag, out_begin, out_end = [], [], [], [], []
     for k in np.flatnonzero(moved):  # a copy: every string of it begins earlier, too
         out_id.append(ids[k])
+        out_f1.append(f1[k])
         out_tag.append(places[k] & _TAG)
         out_begin.append(start[k])
         out_end.append(start[k] + count[k] - 1 + LENGTH)
@@ -314,11 +318,12 @@ def _block(anchor, ids, places, raw, at) -> pa.RecordBatch:
         cut = np.flatnonzero(np.diff(found) > 1) + 1
         for piece in np.split(found, cut):
             out_id.append(ids[k])
+            out_f1.append(f1[k])
             out_tag.append(places[k] & _TAG)
             out_begin.append(start[k] + piece[0])
             out_end.append(start[k] + piece[-1] + LENGTH)
-    return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in (out_id, out_tag, out_begin, out_end)],
-                                      names=["id", "tag", "begin", "end"])
+    return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in (out_id, out_f1, out_tag, out_begin, out_end)],
+                                      names=["id", "f1", "tag", "begin", "end"])
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +333,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def run(table: pa.Table) -> pa.RecordBatch:
         raw, at = utf8(table["bytes"])
-        columns = [table[c].to_numpy() for c in ("anchor", "id", "place")]
+        columns = [table[c].to_numpy() for c in ("anchor", "id", "f1", "place")]
         return _block(*columns, raw[at[0]:at[-1]], at - at[0])
     for batch in batches:
         held.append(batch)
@@ -357,16 +362,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The digest of what is left of every text."""
     for batch in batches:
         raw, at = utf8(batch.column("text"))
-        tags = batch.column("tag").to_numpy(zero_copy_only=False)
         removed, spans, sha = [], [], []
         for k, marks in enumerate(batch.column("marks").to_pylist()):
             text = raw[at[k]:at[k + 1]]
             gone = np.zeros(len(text) + 1, np.int64)
             for mark in marks or ():
-                if mark["tag"] == tags[k]:
-                    begin, end = (0, len(text)) if mark["begin"] < 0 else (mark["begin"], mark["end"])
-                    gone[begin] += 1
-                    gone[end] -= 1
+                begin, end = (0, len(text)) if mark["begin"] < 0 else (mark["begin"], mark["end"])
+                gone[begin] += 1
+                gone[end] -= 1
             inside = np.cumsum(gone[:-1]) > 0
             removed.append(int(inside.sum()))
             spans.append(int(inside[:1].sum() + (inside[1:] & ~inside[:-1]).sum()))
@@ -385,32 +388,30 @@ def _texts(documents: DataFrame) -> DataFrame:
 
 
 def repeat_marks(documents: DataFrame) -> DataFrame:
-    """(id, tag, begin, end): removed byte ranges; begin -1 stands for a whole text."""
+    """(id, f1, tag, begin, end): removed byte ranges of a document; begin -1 stands for a whole text."""
     texts = _texts(documents)
     slim = settle(texts.where(F.octet_length("text") >= LENGTH).select("id", "f1", "f2", "tag"), "slim")
     firsts = slim.groupBy("f1", "f2", "tag").agg(F.min("id").alias("first"))
     copies = (slim.join(firsts, ["f1", "f2", "tag"]).where("id > first")
-              .select("id", "tag", F.lit(-1).cast("bigint").alias("begin"), F.lit(-1).cast("bigint").alias("end")).distinct())
+              .select("id", "f1", "tag", F.lit(-1).cast("bigint").alias("begin"), F.lit(-1).cast("bigint").alias("end")).distinct())
     rows = texts.where(F.octet_length("text") >= LENGTH).select("text", "f1", "f2")
     rows = rows.mapInArrow(_anchored, "anchor bigint, f1 bigint, place bigint")
     rows = rows.repartition("anchor").sortWithinPartitions("anchor", "f1", "place")
     runs = settle(rows.mapInArrow(_seen_twice, "anchor bigint, f1 bigint, place bigint"), "anchors")
     runs = runs.withColumn("tag", F.col("place").bitwiseAND(F.lit(_TAG)))
-    named = runs.join(firsts, ["f1", "tag"]).select(F.col("first").alias("id"), "tag", F.lit(None).cast("string").alias("text"), "anchor", "place")
+    named = runs.join(firsts, ["f1", "tag"]).select(F.col("first").alias("id"), "f1", F.lit(None).cast("string").alias("text"), "anchor", "place")
     none = F.lit(None).cast("bigint")
-    keyed = named.union(texts.where(F.octet_length("text") >= LENGTH).select("id", "tag", "text", none, none))
-    keyed = keyed.repartition("id").sortWithinPartitions(F.col("id"), F.col("anchor").asc_nulls_first())
-    contexts = keyed.mapInArrow(_contexts, "anchor bigint, id bigint, place bigint, bytes binary")
-    contexts = contexts.repartition("anchor").sortWithinPartitions("anchor", "id", "place")
-    marks = contexts.mapInArrow(_marked, "id bigint, tag bigint, begin bigint, end bigint")
+    keyed = named.union(texts.where(F.octet_length("text") >= LENGTH).select("id", "f1", "text", none, "tag"))
+    keyed = keyed.repartition("id", "f1").sortWithinPartitions(F.col("id"), F.col("f1"), F.col("anchor").asc_nulls_first())
+    contexts = keyed.mapInArrow(_contexts, "anchor bigint, id bigint, f1 bigint, place bigint, bytes binary")
+    contexts = contexts.repartition("anchor").sortWithinPartitions("anchor", "id", "f1", "place")
+    marks = contexts.mapInArrow(_marked, "id bigint, f1 bigint, tag bigint, begin bigint, end bigint")
     return marks.union(copies)
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """Per document row: bytes, removed bytes, removed runs, checksum of what is left."""
     texts = _texts(documents)
-    marks = (repeat_marks(documents).groupBy(F.col("id").alias("mark_id"))
-             .agg(F.collect_list(F.struct("tag", "begin", "end")).alias("marks")))
-    joined = texts.join(marks, texts["id"] == marks["mark_id"], "left")
-    return joined.select("doc_id", "tag", "text", "marks").mapInArrow(
+    marks = repeat_marks(documents).groupBy("id", "f1", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
+    return texts.join(marks, ["id", "f1", "tag"], "left").select("doc_id", "text", "marks").mapInArrow(
         _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")

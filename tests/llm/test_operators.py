@@ -205,6 +205,28 @@ def test_repeats_equal_brute_force(docs, empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_repeats_of_many_texts_without_an_id(spark):
+    reachable(spark)
+    shared = prose(40)
+    own = [shared + " " + prose(10) for _ in range(12)] + [prose(5) + " " + shared for _ in range(12)] + [prose(40) for _ in range(600)]
+    rows = [(None, t) for t in own + own[:3]] + [(7, own[20]), (7, prose(30) + shared), (7, shared + prose(30))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    seen, results = set(), {}
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("f1")).distinct().collect()
+    for r in sorted(hashed, key=lambda r: (1 << 63 if r.doc_id is None else r.doc_id, r.f1)):
+        text = r.text.encode()
+        gone, new = bytearray(len(text)), set()
+        for k in range(len(text) - 99):
+            if text[k:k + 100] in seen or text[k:k + 100] in new:
+                gone[k:k + 100] = b"\1" * 100
+            new.add(text[k:k + 100])
+        seen |= new
+        left = bytes(b for b, g in zip(text, gone) if not g)
+        results[r.doc_id, r.text] = (len(text), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(left).hexdigest())
+    expected = Counter((d, *results[d, t]) for d, t in rows)
+    assert Counter(map(tuple, repeats.remove_repeats(docs).collect())) == expected
+
+
 def test_quality_counts_equal_brute_force(docs, empty):
     expected = Counter()
     for row in ROWS:
