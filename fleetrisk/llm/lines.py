@@ -15,9 +15,10 @@ Keys met by index and probe are kept first; then a bitmap of hashed 3-grams (an
 six bits at most) drops pairs that are surely further apart, inside the task, so a segment
 that many lines share does not send all its pairs on. Lines are known by 64-bit hashes.
 
-Defined results. NULL, empty and blank texts have no lines. Repeated rows are the same
-document; each of them gives a result row. Rows without a doc_id come after all others.
-Other columns are not read.
+Defined results. NULL, empty and blank texts have no lines. A document is named by its doc_id and
+a 64-bit hash of its text: repeated rows are the same document, and each of them gives a
+result row; different texts that share a doc_id follow each other by their hashes. Rows
+without a doc_id come after all others, also by the hashes. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -120,9 +121,9 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, number, line, size, g0, g1) of every line; g0 and g1 are the 3-gram bitmap."""
+    """(id, name, number, line, size, g0, g1) of every line; g0 and g1 are the 3-gram bitmap."""
     for batch in batches:
-        ids = batch.column("id").to_numpy(zero_copy_only=False)
+        ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "name"))
         for piece in pieces(batch.column("text"), 1 << 20):
             lines = Lines(piece)
             own = lines.hashes(lines.begin, lines.end).view(np.int64)
@@ -133,9 +134,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 bits[k] = np.bincount(bit[b:max(b, e - 2)], minlength=128) & 1
             bits = np.packbits(bits, axis=1).view(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[piece.first + lines.row]), pa.array(lines.number), pa.array(own),
+                [pa.array(ids[piece.first + lines.row]), pa.array(texts[piece.first + lines.row]), pa.array(lines.number), pa.array(own),
                  pa.array(lines.end - lines.begin), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
-                names=["id", "number", "line", "size", "g0", "g1"])
+                names=["id", "name", "number", "line", "size", "g0", "g1"])
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,31 +253,34 @@ def near_lines(texts: DataFrame, occurrences: DataFrame) -> DataFrame:
     return both.select("x", "y", "text_x", "text_y").mapInArrow(_verified, "x bigint, y bigint")
 
 
+def _named(documents: DataFrame) -> DataFrame:
+    """(doc_id, id, name, text): id orders the documents, id and name are one document."""
+    doc_id, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    return documents.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_LAST)).alias("id"), F.xxhash64(text).alias("name"), text.alias("text"))
+
+
 def line_marks(documents: DataFrame) -> DataFrame:
-    """(id, number, line, exact, near) for every line with a word."""
-    doc_id = F.col("doc_id").cast("bigint")
-    texts = documents.select(F.coalesce(doc_id, F.lit(_LAST)).alias("id"), F.col("text").cast("string").alias("text"))
-    schema = "id bigint, number bigint, line bigint, size bigint, g0 bigint, g1 bigint"
+    """(id, name, number, line, exact, near) for every line with a word."""
+    texts = _named(documents).select("id", "name", "text")
+    schema = "id bigint, name bigint, number bigint, line bigint, size bigint, g0 bigint, g1 bigint"
     found = settle(texts.mapInArrow(_occurrences, schema), "occurrences")
-    firsts = settle(found.groupBy("line").agg(F.min(F.struct("id", "number")).alias("first")), "firsts")
+    firsts = settle(found.groupBy("line").agg(F.min(F.struct("id", "name", "number")).alias("first")), "firsts")
     links = near_lines(texts, found)
     links = links.union(links.select("y", "x")).distinct()
     named = (links.join(firsts.select(F.col("line").alias("x"), F.col("first").alias("first_x")), "x")
              .join(firsts.select(F.col("line").alias("y"), F.col("first").alias("first_y")), "y"))
     near = named.where("first_x > first_y").select(F.col("x").alias("line"), F.lit(True).alias("near")).distinct()
-    marks = found.select("id", "number", "line").join(firsts.join(near, "line", "left"), "line")
-    return marks.select("id", "number", "line", ((F.col("id") != F.col("first.id")) | (F.col("number") != F.col("first.number"))).alias("exact"),
+    marks = found.select("id", "name", "number", "line").join(firsts.join(near, "line", "left"), "line")
+    return marks.select("id", "name", "number", "line", (F.struct("id", "name", "number") != F.col("first")).alias("exact"),
                         F.coalesce("near", F.lit(False)).alias("near"))
 
 
 def dedup_lines(documents: DataFrame) -> DataFrame:
     """Per document row: lines with a word, lines that are exact copies, other lines that are near copies."""
-    per = line_marks(documents).distinct().groupBy("id").agg(
+    per = line_marks(documents).distinct().groupBy("id", "name").agg(
         F.count(F.lit(1)).alias("lines"), F.sum(F.col("exact").cast("bigint")).alias("copies"),
         F.sum((~F.col("exact") & F.col("near")).cast("bigint")).alias("near"))
-    doc_id = F.col("doc_id").cast("bigint")
-    rows = documents.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(_LAST)).alias("id"))
-    rows = rows.join(per, "id", "left")
+    rows = _named(documents).select("doc_id", "id", "name").join(per, ["id", "name"], "left")
     zero = F.lit(0).cast("bigint")
     return rows.select("doc_id", F.coalesce("lines", zero).alias("n_lines"), F.coalesce("copies", zero).alias("n_exact"),
                        F.coalesce("near", zero).alias("n_near"))

@@ -344,6 +344,34 @@ def test_lines(spark, docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_of_documents_without_an_id(spark):
+    reachable(spark)
+    head = "a header line that all of them share"
+    texts = [f"{head}\n{'the quick brown fox jumps over it' + '!' * (k % 3)}\nown line number {k} {prose(6)}" for k in range(9)]
+    rows = [(None, t) for t in texts + texts[:2]] + [(None, ""), (None, None), (3, head), (3, texts[4]), (3, texts[4] + "\n" + head), (2, prose(9))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[:], i
+            for j, y in enumerate(b, 1):
+                row[j] = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y))
+        return row[-1]
+    named = {tuple(r) for r in docs.select("doc_id", F.xxhash64("text").alias("name"), "text").collect()}
+    order = sorted(named, key=lambda r: (1 << 63 if r[0] is None else r[0], r[1]))
+    found = [(d, t, k, line) for d, _, t in order for k, line in enumerate((t or "").split("\n")) if line.strip()]
+    first = {}
+    for place, (*_, line) in enumerate(found):
+        first.setdefault(line, place)
+    near = {x for x in first for y in first if len(x) >= 24 and len(y) >= 24 and first[y] < first[x] and distance(x, y) <= 2}
+    counts = defaultdict(lambda: [0, 0, 0])
+    for place, (d, t, _, line) in enumerate(found):
+        exact = first[line] != place
+        for k, one in enumerate((1, exact, line in near and not exact)):
+            counts[d, t][k] += one
+    assert Counter(map(tuple, lines.dedup_lines(docs).collect())) == Counter((d, *counts[d, t]) for d, t in rows)
+
+
 def test_classifiers_survive_awkward_tables(spark, docs, empty):
     labels = spark.createDataFrame([(k, k % 2) for k in range(20)] + [(3, 1), (None, 1), (4, None)], "doc_id bigint, quality int")
     rows = factorisation.score_documents(docs, labels).collect()
