@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetrisk.llm import decontaminate, factorisation, jaccard, langid, licences, lines, mixing, quality, repeats, sharding
+from fleetrisk.llm import decontaminate, factorisation, jaccard, langid, licences, lines, mixing, quality, repeats, search, sharding
 from fleetrisk.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,35 @@ def _op9(spark, sf_dir):
 @query("op10_language_id")
 def _op10(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
+
+
+#: Lower case for A-Z alone.
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP12 = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents),
+items AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM benchmark),
+sizes AS (SELECT doc, doc_id, CAST(len(w) AS BIGINT) AS n FROM docs WHERE len(w) > 0),
+corpus AS (SELECT CAST(count(*) AS BIGINT) AS all_docs, CAST(sum(n) AS BIGINT) AS all_terms FROM sizes),
+postings AS (SELECT doc, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc, unnest(w) AS term FROM docs) GROUP BY doc, term),
+asked AS (SELECT item, term, CAST(count(*) AS BIGINT) AS times FROM (SELECT item, unnest(w) AS term FROM items) GROUP BY item, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * all_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM postings, corpus GROUP BY term, all_docs),
+scored AS (
+  SELECT item, doc, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * all_docs) // all_terms)))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (doc), corpus GROUP BY item, doc),
+ranked AS (
+  SELECT item, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS place
+  FROM scored JOIN sizes USING (doc) WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked JOIN items USING (item) WHERE place <= 10
+"""
+
+
+@query("op12_ranked_search", _OP12)
+def _op12(spark, sf_dir):
+    return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
