@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetrisk.llm import decontaminate, factorisation, jaccard, langid, licences, lines, mixing, quality, repeats, search, sharding
+from fleetrisk.llm import (decontaminate, factorisation, jaccard, langid, licences, lines, mixing, phrases, quality, repeats,
+                           search, sharding)
 from fleetrisk.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +139,37 @@ SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM ranked JOIN i
 @query("op12_ranked_search", _OP12)
 def _op12(spark, sf_dir):
     return search.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_OP13 = f"""
+WITH cut AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM cut),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS k FROM pieces),
+grams AS (
+  SELECT lang, m, array_to_string(w[k:k + m - 1], ' ') AS phrase FROM starts, (VALUES (1), (2), (3)) AS t(m) WHERE k + m - 1 <= len(w)),
+counts AS (SELECT lang, m, phrase, CAST(count(*) AS BIGINT) AS a FROM grams GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT lang, m, phrase, a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM counts WHERE m > 1),
+parts AS (
+  SELECT c.lang, c.m, c.phrase, c.a, c.k, x.a AS l, y.a AS r,
+         CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM parts),
+inside AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS longer
+  FROM (SELECT lang, a, string_split(phrase, ' ') AS w FROM counts WHERE m = 3)),
+absorbed AS (SELECT lang, phrase, max(longer) AS longer FROM inside GROUP BY ALL),
+kept AS (
+  SELECT x.*, row_number() OVER (PARTITION BY x.lang ORDER BY score DESC, a DESC, x.phrase) AS rank
+  FROM lowest x LEFT JOIN absorbed i ON i.lang = x.lang AND i.phrase = x.phrase
+  WHERE place = 1 AND NOT coalesce(100 * longer >= 50 * a, false))
+SELECT kept.lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM kept JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_mining", _OP13)
+def _op13(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
