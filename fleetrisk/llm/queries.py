@@ -9,8 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetrisk.llm import (decontaminate, factorisation, jaccard, langid, licences, lines, mixing, phrases, quality, repeats,
-                           search, sharding)
+from fleetrisk.llm import (decontaminate, factorisation, jaccard, langid, licences, lines, minhash, mixing, phrases, quality,
+                           repeats, search, sharding)
 from fleetrisk.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,6 +27,43 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+#: Lower case for A-Z alone.
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _near_copies_sql(shingle: int, percent: int, more: str = "") -> str:
+    """Links between distinct sets by their common shingles, and the smallest doc_id that links reach.
+
+    Documents of one set are one node, and so are documents of one doc_id.
+    """
+    return f"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc, doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < {shingle} THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(
+         list_transform(range(1, len(w) - {shingle - 2}), lambda k: array_to_string(w[k:k + {shingle - 1}], ' ')))) END AS s FROM words),
+classes AS (SELECT row_number() OVER () AS class, s, len(s) AS n FROM (SELECT DISTINCT s FROM sets WHERE len(s) > 0)),
+members AS (SELECT doc, doc_id, class FROM sets JOIN classes USING (s)),
+grams AS (SELECT class, n, unnest(s) AS g FROM classes),
+pairs AS (
+  SELECT x.class AS x, y.class AS y FROM grams x JOIN grams y ON x.g = y.g AND x.class < y.class
+  WHERE 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
+  GROUP BY x.class, y.class, x.n, y.n HAVING 100 * count(*) >= {percent} * (x.n + y.n - count(*))),
+links AS (
+  SELECT x, y FROM pairs UNION SELECT y, x FROM pairs
+  UNION SELECT a.class, b.class FROM members a JOIN members b ON a.doc_id = b.doc_id AND a.class <> b.class),
+reach AS (
+  SELECT DISTINCT x AS class, x AS other FROM links
+  UNION SELECT reach.class, links.y FROM reach JOIN links ON reach.other = links.x),
+smallest AS (
+  SELECT c.class, min(m.doc_id) AS component_id FROM (SELECT class, class AS other FROM classes UNION SELECT class, other FROM reach) c
+  JOIN members m ON m.class = c.other GROUP BY c.class)
+SELECT sets.doc_id, CAST(len(s) AS BIGINT) AS n_shingles,
+       CASE WHEN len(s) = 0 THEN sets.doc_id ELSE component_id END AS component_id{more}
+FROM sets LEFT JOIN members USING (doc) LEFT JOIN smallest USING (class)
+"""
+
+
 @query("op1_benchmark_decontamination")
 def _op1(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -42,7 +79,7 @@ def _op3(spark, sf_dir):
     return licences.scan_licences(table(spark, sf_dir, "documents"))
 
 
-@query("op4_ngram_jaccard_join")
+@query("op4_ngram_jaccard_join", _near_copies_sql(jaccard.SHINGLE, jaccard.PERCENT))
 def _op4(spark, sf_dir):
     return jaccard.near_copies(table(spark, sf_dir, "documents"))
 
@@ -109,8 +146,13 @@ def _op10(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
-#: Lower case for A-Z alone.
-_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_KEPT = ",\n       sets.doc_id IS NOT DISTINCT FROM CASE WHEN len(s) = 0 THEN sets.doc_id ELSE component_id END AS kept"
+
+
+@query("op11_minhash_near_dedup", _near_copies_sql(minhash.SHINGLE, minhash.PERCENT, _KEPT))
+def _op11(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
 
 _OP12 = f"""
 WITH docs AS (
