@@ -80,7 +80,19 @@ def _(v):
     return _drained(v, live.captured_history(_events(v).select("Plate", "Last_Update")))
 
 
-@query("T5_sticky_severities")
+_HOLDS = "CASE {0} WHEN 'Critical' THEN 72 WHEN 'High' THEN 48 WHEN 'Medium' THEN 24 WHEN 'Low' THEN 12 ELSE 24 END * INTERVAL 1 HOUR"
+
+
+@query("T5_sticky_severities", f"""SELECT * FROM (WITH RECURSIVE a AS (SELECT Plate, Last_Update, Speed_kmh / 300 AS score, CASE WHEN Speed_kmh / 300 >= 0.6 THEN 'Critical'
+  WHEN Speed_kmh / 300 >= 0.4 THEN 'High' WHEN Speed_kmh / 300 >= 0.2 THEN 'Medium' ELSE 'Low' END AS candidate FROM history WHERE Last_Update {_CLOSED}),
+  n AS (SELECT *, row_number() OVER (PARTITION BY Plate ORDER BY Last_Update, candidate, score) AS k FROM a),
+  s AS (SELECT Plate, k, Last_Update, candidate AS level, Last_Update AS since, score FROM n WHERE k = 1 UNION ALL
+    SELECT n.Plate, n.k, n.Last_Update, CASE WHEN n.Last_Update >= s.since + {_HOLDS.format('s.level')} THEN candidate ELSE level END,
+      CASE WHEN n.Last_Update >= s.since + {_HOLDS.format('s.level')} THEN n.Last_Update ELSE since END,
+      CASE WHEN n.Last_Update >= s.since + {_HOLDS.format('s.level')} THEN n.score ELSE s.score END FROM s JOIN n ON n.Plate = s.Plate AND n.k = s.k + 1)
+  SELECT Plate, Last_Update, level AS Severity, since AS last_updated, {r('score', 'composite_score')}, false AS Hold_Over FROM s UNION ALL
+  SELECT Plate, since + {_HOLDS.format('level')}, level, since, {r('score', 'composite_score')}, true FROM s
+  WHERE since = Last_Update AND since + {_HOLDS.format('level')} {_CLOSED})""")
 def _(v):
     score = F.col("Speed_kmh") / 300
     rows = _events(v).select("Plate", "Last_Update", score.alias("Composite_Score"), F.when(score >= 0.6, "Critical").when(
@@ -88,7 +100,12 @@ def _(v):
     return _drained(v, live.sticky_severities(rows))
 
 
-@query("T6_smoothed_scores")
+@query("T6_smoothed_scores", f"""SELECT * FROM (WITH RECURSIVE n AS (SELECT Plate, Last_Update, least(Speed_kmh / 200, 1e0) AS score, row_number() OVER (PARTITION BY Plate
+    ORDER BY Last_Update, least(Speed_kmh / 200, 1e0)) AS k FROM history WHERE Last_Update {_CLOSED}),
+  s AS (SELECT Plate, k, Last_Update, greatest(score, 0e0) AS shown FROM n WHERE k = 1 UNION ALL
+    SELECT n.Plate, n.k, n.Last_Update, least(greatest(shown + least(greatest(greatest(score, 0e0) - shown, -2e-2), 2e-2), 0e0), 1e0)
+    FROM s JOIN n ON n.Plate = s.Plate AND n.k = s.k + 1)
+  SELECT Plate, Last_Update, {r('shown', 'Calculated_Risk_Score')} FROM s)""")
 def _(v):
     rows = _events(v).select("Plate", "Last_Update", F.least(F.col("Speed_kmh") / 200, F.lit(1.0)).alias("Calculated_Risk_Score"))
     return _drained(v, live.smoothed_scores(rows))
