@@ -508,6 +508,28 @@ def _(v):
     return drivers.rolling_harsh(v.history, "event_id")
 
 
+_TRAILING = _RANGE.format(30)
+
+
+@query("W5_trailing_extremes", f"""SELECT Plate, event_id, {r(f'max(Speed_kmh) OVER {_TRAILING}', 'Max_Speed_kmh', 8)}, {r(f'coalesce(var_samp(Speed_kmh) OVER {_TRAILING}, 0e0)', 'Speed_Variance', 8)},
+  {r(f'greatest(max(Acceleration_mps2) OVER {_TRAILING}, 0e0)', 'Max_Acceleration_mps2', 8)}, {r(f'greatest(max(-Acceleration_mps2) OVER {_TRAILING}, 0e0)', 'Max_Deceleration_mps2', 8)} FROM history""", 8)
+def _(v):
+    return drivers.trailing_extremes(v.history, "event_id")
+
+
+@query("C24_preprocess_with_history", f"""WITH l AS (SELECT h.*, max(Last_Update) OVER (PARTITION BY Plate) AS newest FROM history h),
+  w AS (SELECT Plate, avg(CASE WHEN Last_Update >= newest - INTERVAL 7 DAY THEN Speed_kmh END) AS mean7, sum(Harsh_Brake_Count + Harsh_Accel_Count + Harsh_Corner_Count) AS harsh30,
+    max(Speed_kmh) AS top, coalesce(var_samp(Speed_kmh), 0e0) AS spread, greatest(max(Acceleration_mps2), 0e0) AS up, greatest(max(-Acceleration_mps2), 0e0) AS down
+    FROM l WHERE Last_Update >= newest - INTERVAL 30 DAY GROUP BY Plate)
+  SELECT p.Plate, {r('coalesce(mean7, p.Avg_Speed_Last_7_Days)', 'Avg_Speed_Last_7_Days', 8)}, {r('coalesce(harsh30, p.Total_Harsh_Events_Last_30_Days)', 'Total_Harsh_Events_Last_30_Days', 8)},
+  {r('coalesce(top, coalesce(p.Speed_kmh, 0e0))', 'Max_Speed_kmh', 8)}, {r('coalesce(spread, 0e0)', 'Speed_Variance', 8)}, {r('coalesce(up, least(abs(coalesce(p.Acceleration_mps2, 0e0)), 6e0))', 'Max_Acceleration_mps2', 8)},
+  {r('coalesce(down, least(abs(coalesce(p.Acceleration_mps2, 0e0)) * 6e-1, 6e0))', 'Max_Deceleration_mps2', 8)}, {r('p.Fatigue_Risk_Score', 'Fatigue_Risk_Score', 8)} FROM prepared p LEFT JOIN w ON w.Plate = p.Plate""", 8)
+def _(v):
+    return features.preprocess(v.portfolio, AS_OF, plates_known=True, history=v.history).select(
+        "Plate", "Avg_Speed_Last_7_Days", "Total_Harsh_Events_Last_30_Days", "Max_Speed_kmh", "Speed_Variance", "Max_Acceleration_mps2",
+        "Max_Deceleration_mps2", "Fatigue_Risk_Score")
+
+
 @query("W5_vehicle_extremes", f"""SELECT Plate, {r('max(Speed_kmh)', 'Max_Speed_kmh', 3)}, {r('coalesce(var_samp(Speed_kmh), 0e0)', 'Speed_Variance', 3)},
   {r('greatest(max(Acceleration_mps2), 0e0)', 'Max_Acceleration_mps2', 3)}, {r('greatest(max(-Acceleration_mps2), 0e0)', 'Max_Deceleration_mps2', 3)} FROM history GROUP BY Plate""", 3)
 def _(v):

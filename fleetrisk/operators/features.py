@@ -12,6 +12,7 @@ from fleetrisk.functions import calendar as cal
 from fleetrisk.functions import risk
 from fleetrisk.functions.columns import Presence, bound, clip, half_even, has, lookup, num, stamp, text
 from fleetrisk.operators.cleaning import fill_plates
+from fleetrisk.operators.drivers import vehicle_windows
 
 # (column, default) of the snapshot columns whose default is a constant.
 _TEXT_DEFAULTS = (
@@ -170,12 +171,15 @@ def coolant_overheat(df: DataFrame) -> Column:
 
 
 def preprocess(raw: DataFrame, as_of: datetime, order_by: str | None = None,
-               plates_known: bool = False, model_year: int = K.FLEET_MODEL_YEAR) -> DataFrame:
+               plates_known: bool = False, model_year: int = K.FLEET_MODEL_YEAR,
+               history: DataFrame | None = None) -> DataFrame:
     """Raw snapshot to the engineered snapshot, in three projections.
 
     The features read the raw values (each with its own default) before the snapshot
-    defaults are filled in. Single-snapshot stand-ins are given for the speed and
-    acceleration extremes; ``drivers.vehicle_windows`` computes them over history.
+    defaults are filled in. With a ``history`` the trailing windows (7-day mean speed, 30-day
+    harsh events, speed and acceleration extremes, speed variance) are those of the vehicle's last
+    observation there (``drivers.vehicle_windows``). Vehicles without one, and calls without a
+    history, get single-snapshot stand-ins.
     """
     stale = [c for c in ("Harsh_Events_Per_Km", "Calculated_Risk_Score", "Risk_Band", "Monthly_Premium_USD")
              if has(raw, c)]
@@ -213,6 +217,12 @@ def preprocess(raw: DataFrame, as_of: datetime, order_by: str | None = None,
     })
     df = df.withColumn("Speeding_Ratio_x_Night_Driving_Ratio",
                        speeding_night_interaction(F.col("Speeding_Excess_kmh"), limit, night))
+    if history is not None:
+        windows = vehicle_windows(history)
+        real = [c for c in windows.columns if c != "Plate"]
+        windows = windows.select(F.col("Plate").alias("__plate"), *[F.col(c).alias(f"__{c}") for c in real])
+        df = df.join(windows, df["Plate"] == F.col("__plate"), "left").withColumns(
+            {c: F.coalesce(f"__{c}", c) for c in real}).drop("__plate", *[f"__{c}" for c in real])
     return fill_snapshot(df, as_of, order_by, plates_known)
 
 

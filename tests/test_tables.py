@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import random
+import statistics as statistics_module
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -100,6 +102,46 @@ def test_trailing_window_against_brute_force(spark):
         assert got[row["event_id"]] == pytest.approx(sum(near) / len(near), rel=1e-12)
 
 
+def test_a_vehicle_with_most_rows_of_an_hour(spark):
+    """Blocks cut into parts give what whole blocks give, also where rows share an instant."""
+    start, rng = datetime(2024, 1, 1), random.Random(4)
+    rows = [(k, "hot" if k % 4 else f"V{k % 3}", start + timedelta(seconds=rng.choice((rng.randrange(3600), 1800, rng.randrange(8 * 86400)))),
+             float(rng.randrange(0, 200)) / 4, rng.choice(["Driving", "Driving", "Parked", None]), float(rng.randrange(-40, 40)) / 8, float(rng.randrange(500)))
+            for k in range(2500)]
+    df = spark.createDataFrame(rows, "event_id long, Plate string, Last_Update timestamp_ntz, Speed_kmh double, Status string, "
+                                     "Acceleration_mps2 double, Trip_Distance_km double").repartition(4)
+
+    def rounded(out):
+        return sorted(str([round(x, 6) if isinstance(x, float) else x for x in r]) for r in out.collect())
+
+    for build in (lambda n: drivers.trip_sessions(df, tiebreak=["event_id"], block_rows=n),
+                  lambda n: drivers.trailing_extremes(df, "event_id", 7, block_rows=n),
+                  lambda n: drivers.with_previous(df, "Plate", "Last_Update", ["Speed_kmh"], ["event_id"], block_rows=n).drop("__block")):
+        assert rounded(build(40)) == rounded(build(10**6))
+    parts = drivers._blocked(df, "Plate", "Last_Update", drivers.DAY, 40).groupBy("Plate", "__block").count()
+    instants = Counter((r[1], r[2]) for r in rows)
+    assert parts.agg({"count": "max"}).first()[0] <= max(40, max(instants.values()))
+    got = {r["event_id"]: r for r in drivers.trailing_extremes(df, "event_id", 7, block_rows=40).collect()}
+    for row in rows[:60]:
+        near = [x for x in rows if x[1] == row[1] and row[2] - timedelta(days=7) <= x[2] <= row[2]]
+        speeds = [x[3] for x in near]
+        assert got[row[0]]["Max_Speed_kmh"] == max(speeds)
+        assert got[row[0]]["Speed_Variance"] == pytest.approx(statistics_module.variance(speeds) if len(speeds) > 1 else 0.0, rel=1e-9, abs=1e-9)
+        assert got[row[0]]["Max_Deceleration_mps2"] == max(0.0, *[-x[5] for x in near])
+
+
+def test_variance_of_large_speeds(spark):
+    rows = [(k, "a", datetime(2024, 1, 1) + timedelta(minutes=k), 1e9 + k % 3) for k in range(30)]
+    df = spark.createDataFrame(rows, "event_id long, Plate string, Last_Update timestamp_ntz, Speed_kmh double")
+    last = drivers.trailing_extremes(df.withColumn("Acceleration_mps2", F.lit(0.0)), "event_id").where("event_id = 29").first()
+    assert last["Speed_Variance"] == pytest.approx(statistics_module.variance([k % 3 for k in range(30)]), rel=1e-12)
+
+
+def test_trip_plan_has_few_shuffles(spark):
+    text = _exchanges(drivers.trip_sessions(testdata.history(spark, SF_SMALL), tiebreak=["event_id"]))
+    assert text.count("Exchange hashpartitioning") <= 6 and "SinglePartition" not in text
+
+
 def test_modal_band_takes_the_smallest_on_ties(spark):
     df = spark.createDataFrame([("X", "a", "Low", 0.1), ("X", "b", "High", 0.6)],
                                "City string, Plate string, Risk_Band string, Calculated_Risk_Score double")
