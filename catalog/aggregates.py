@@ -511,10 +511,12 @@ def _(v):
 _TRAILING = _RANGE.format(30)
 
 
-@query("W5_trailing_extremes", f"""SELECT Plate, event_id, {r(f'max(Speed_kmh) OVER {_TRAILING}', 'Max_Speed_kmh', 8)}, {r(f'coalesce(var_samp(Speed_kmh) OVER {_TRAILING}, 0e0)', 'Speed_Variance', 8)},
-  {r(f'greatest(max(Acceleration_mps2) OVER {_TRAILING}, 0e0)', 'Max_Acceleration_mps2', 8)}, {r(f'greatest(max(-Acceleration_mps2) OVER {_TRAILING}, 0e0)', 'Max_Deceleration_mps2', 8)} FROM history""", 8)
+@query("W5_trailing_extremes", f"""SELECT Plate, event_id, {r(f'max(Speed_kmh) OVER {_TRAILING}', 'Max_Speed_kmh', 6)}, {r(f'sqrt(coalesce(var_samp(Speed_kmh) OVER {_TRAILING}, 0e0))', 'Speed_Deviation', 6)},
+  {r(f'greatest(max(Acceleration_mps2) OVER {_TRAILING}, 0e0)', 'Max_Acceleration_mps2', 6)}, {r(f'greatest(max(-Acceleration_mps2) OVER {_TRAILING}, 0e0)', 'Max_Deceleration_mps2', 6)} FROM history""", 6)
 def _(v):
-    return drivers.trailing_extremes(v.history, "event_id")
+    # The root of the variance: a variance of few quarter steps ends in a 5 that rounds either way.
+    rows = drivers.trailing_extremes(v.history, "event_id")
+    return rows.withColumn("Speed_Deviation", F.sqrt("Speed_Variance")).drop("Speed_Variance")
 
 
 @query("C24_preprocess_with_history", f"""WITH l AS (SELECT h.*, max(Last_Update) OVER (PARTITION BY Plate) AS newest FROM history h),
@@ -522,11 +524,11 @@ def _(v):
     max(Speed_kmh) AS top, coalesce(var_samp(Speed_kmh), 0e0) AS spread, greatest(max(Acceleration_mps2), 0e0) AS up, greatest(max(-Acceleration_mps2), 0e0) AS down
     FROM l WHERE Last_Update >= newest - INTERVAL 30 DAY GROUP BY Plate)
   SELECT p.Plate, {r('coalesce(mean7, p.Avg_Speed_Last_7_Days)', 'Avg_Speed_Last_7_Days', 8)}, {r('coalesce(harsh30, p.Total_Harsh_Events_Last_30_Days)', 'Total_Harsh_Events_Last_30_Days', 8)},
-  {r('coalesce(top, coalesce(p.Speed_kmh, 0e0))', 'Max_Speed_kmh', 8)}, {r('coalesce(spread, 0e0)', 'Speed_Variance', 8)}, {r('coalesce(up, least(abs(coalesce(p.Acceleration_mps2, 0e0)), 6e0))', 'Max_Acceleration_mps2', 8)},
+  {r('coalesce(top, coalesce(p.Speed_kmh, 0e0))', 'Max_Speed_kmh', 8)}, {r('sqrt(coalesce(spread, 0e0))', 'Speed_Deviation', 8)}, {r('coalesce(up, least(abs(coalesce(p.Acceleration_mps2, 0e0)), 6e0))', 'Max_Acceleration_mps2', 8)},
   {r('coalesce(down, least(abs(coalesce(p.Acceleration_mps2, 0e0)) * 6e-1, 6e0))', 'Max_Deceleration_mps2', 8)}, {r('p.Fatigue_Risk_Score', 'Fatigue_Risk_Score', 8)} FROM prepared p LEFT JOIN w ON w.Plate = p.Plate""", 8)
 def _(v):
     return features.preprocess(v.portfolio, AS_OF, plates_known=True, history=v.history).select(
-        "Plate", "Avg_Speed_Last_7_Days", "Total_Harsh_Events_Last_30_Days", "Max_Speed_kmh", "Speed_Variance", "Max_Acceleration_mps2",
+        "Plate", "Avg_Speed_Last_7_Days", "Total_Harsh_Events_Last_30_Days", "Max_Speed_kmh", F.sqrt("Speed_Variance").alias("Speed_Deviation"), "Max_Acceleration_mps2",
         "Max_Deceleration_mps2", "Fatigue_Risk_Score")
 
 

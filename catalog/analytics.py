@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from catalog import sqltext as S
@@ -157,12 +158,21 @@ def _(v):
     return early.select("event_id", F.lit("train").alias("part")).unionByName(late.select("event_id", F.lit("test").alias("part")))
 
 
-@query("M4_encoded_features")
+_CODED = ("Status", "City", "Type", "Make", "Model", "Class", "Usage", "Time_of_Day", "Day_of_Week")
+
+
+@query("M4_encoded_features", f"""SELECT event_id, {', '.join(f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'missing')) - 1 AS DOUBLE) AS {c}" for c in _CODED)},
+  CASE WHEN Weather = 'Stormy' THEN 1e0 ELSE 0e0 END AS Weather_Stormy, CASE WHEN Road_Type = 'Urban' THEN 1e0 ELSE 0e0 END AS Road_Type_Urban,
+  {r('Speed_kmh')}, {r('Night_Driving_Flag', 'Night_Driving_Flag')}, (SELECT count(DISTINCT Road_Type) + count(DISTINCT Weather) - 2 FROM h_prepared) AS dummies,
+  CASE WHEN Road_Type = (SELECT min(Road_Type) FROM h_prepared) THEN 0 ELSE 1 END + CASE WHEN Weather = (SELECT min(Weather) FROM h_prepared) THEN 0 ELSE 1 END AS dummies_set FROM h_prepared""")
 def _(v):
     labelled = v.h_prepared.drop("Trip_ID")
     encoder = modeling.fit_features(labelled)
     encoded = encoder.transform(labelled)
-    return encoded.select("event_id", *[F.col(c) for c in ("Status", "City", "Weather_Stormy", "Road_Type_Urban", "Speed_kmh") if c in encoder.features])
+    plain = len(encoder.numeric) + len(encoder.coded)
+    hot = F.slice(vector_to_array("features"), plain + 1, max(1, encoder.size - plain))
+    return encoded.select(F.col("event_id").cast("long").alias("event_id"), *_CODED, "Weather_Stormy", "Road_Type_Urban", "Speed_kmh", F.col("Night_Driving_Flag").cast("double").alias("Night_Driving_Flag"),
+                          F.lit(encoder.size - plain).cast("long").alias("dummies"), F.aggregate(hot, F.lit(0.0), lambda a, b: a + b).cast("int").alias("dummies_set"))
 
 
 # --- tests on a labelled history -------------------------------------------------------
@@ -283,53 +293,67 @@ def _(v):
     return ranks.grouped_quantiles(v.history, "Speed_kmh", {"q5": 0.05, "q25": 0.25, "q50": 0.5, "q95": 0.95}, ["City"])
 
 
-# --- the model: no SQL twin ------------------------------------------------------------
+# --- the model: all columns, the operators' own rounds and depth ------------------------
+_RUNS: dict[tuple, dict] = {}
+
+
+def _trained(v) -> dict:
+    """One training run for a session and data folder, shared by the queries that report on it."""
+    from fleetrisk.plans.training import train
+    key = (v.spark.sparkContext.applicationId, v.dir)
+    if key not in _RUNS:
+        _RUNS[key] = train(v.h_prepared)
+    return _RUNS[key]
+
+
 def _encoded(v):
-    labelled = settle(_labelled(v).drop("Make", "Model", "Class", "Type", "Usage"), "labelled")
+    labelled = settle(_labelled(v), "labelled")
     encoder = modeling.fit_features(labelled)
-    return encoder, settle(encoder.transform(labelled), "encoded")
+    return encoder, settle(encoder.transform(labelled, show_dummies=False), "encoded")
 
 
 @query("M7_M8_model_scores")
 def _(v):
-    encoder, encoded = _encoded(v)
-    train, test = modeling.time_split(encoded)
-    model = modeling.fit_risk_model(train.select("Risk_Label", "features"), rounds=10, depth=3)
-    return modeling.score_features(model, test).select("event_id", "Risk_Label", "Predicted_Risk_Score", "Predicted_Risk_Label")
+    return _trained(v)["scored_test"].select("event_id", "Risk_Label", "Predicted_Risk_Score", "Predicted_Risk_Label")
 
 
 @query("M20_smallest_p_values")
 def _(v):
-    from fleetrisk.plans.training import smallest_p_values
-    sample = settle(_sample(v), "sample")
-    return smallest_p_values({
-        "normality": statistics.normality(sample, _MEASURES), "mann_whitney": statistics.mann_whitney(sample, _MEASURES),
-        "chi_square": statistics.chi_square(sample, ("City", "Weather")), "spearman": statistics.spearman(sample, "p", _MEASURES),
-        "ks": statistics.ks_two_sample(sample, "p", "Risk_Label")})
+    return _trained(v)["smallest_p_values"]
 
 
 @query("Q5_training_metrics")
 def _(v):
-    from fleetrisk.plans.training import train
-    slim = settle(v.h_prepared.drop("Make", "Model", "Class", "Type", "Usage"), "prepared")
-    return train(slim, rounds=5, depth=3)["metrics"]
+    run = _trained(v)
+    return run["metrics"].select(F.lit("test").alias("part"), "*").union(run["validation_metrics"].select(F.lit("validation"), "*"))
 
 
 @query("M9_permutation_importance")
 def _(v):
-    encoder, encoded = _encoded(v)
-    train, test = modeling.time_split(encoded)
-    model = modeling.fit_risk_model(train.select("Risk_Label", "features"), rounds=5, depth=3)
-    return modeling.permutation_importance(model, test, encoder.features)
+    return _trained(v)["importance"]
+
+
+_SCALED = ("Speed_kmh", "RPM", "Engine_Load_pct", "Coolant_Temp_C", "Battery_V", "Recent_Harsh_Events", "Fatigue_Risk_Score", "Update_Hour",
+           "RPM_per_Speed")
 
 
-@query("M11_standardise")
+@query("M11_standardise", f"""WITH {_TRAIN}, c AS (SELECT l.*, {', '.join(f"CAST(dense_rank() OVER (ORDER BY coalesce({c}, 'missing')) - 1 AS DOUBLE) AS x_{c}" for c in ('City', 'Make', 'Type'))} FROM labelled l)
+  SELECT event_id, {', '.join(r(f"CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0e0 END", f"scaled_{c.removeprefix('x_')}") for c in (*_SCALED, 'x_City', 'x_Make', 'x_Type'))} FROM c""")
 def _(v):
-    _, encoded = _encoded(v)
-    return modeling.standardise(encoded).select("event_id", "scaled")
+    encoder, encoded = _encoded(v)
+    scaled = vector_to_array("scaled")
+    shown = [*_SCALED, "City", "Make", "Type"]
+    return modeling.standardise(encoded).select(F.col("event_id").cast("long").alias("event_id"), *[scaled[(encoder.numeric + encoder.coded).index(c)].alias(f"scaled_{c}") for c in shown])
 
 
 @query("M19_odds_ratios")
 def _(v):
     encoder, encoded = _encoded(v)
-    return modeling.odds_ratios(encoded, encoder.features)
+    return modeling.odds_ratios(encoded, encoder.names(v.spark))
+
+
+@query("M19_fitted_mean", f"WITH {_TRAIN} SELECT count(*) AS observations, {r('avg(Risk_Label)', 'mean_fitted_probability', 6)} FROM labelled", 6)
+def _(v):
+    _, encoded = _encoded(v)
+    fitted = modeling.fit_logistic(encoded).probability()
+    return encoded.agg(F.count(F.lit(1)).alias("observations"), F.avg(fitted).alias("mean_fitted_probability"))

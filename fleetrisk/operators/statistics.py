@@ -23,9 +23,9 @@ FLOOR = 1e-6
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
-    """Numeric feature columns, picked from the schema."""
+    """Numeric and true/false feature columns, picked from the schema."""
     skip = set(K.ID_COLUMNS) | set(K.TARGET_COLUMNS)
-    return [f.name for f in df.schema.fields if f.name not in skip and isinstance(f.dataType, T.NumericType)]
+    return [f.name for f in df.schema.fields if f.name not in skip and isinstance(f.dataType, (T.NumericType, T.BooleanType))]
 
 
 def text_columns(df: DataFrame) -> list[str]:
@@ -65,7 +65,8 @@ def synthesize_targets(df: DataFrame, seed: int = 42, drop: bool = True) -> Data
         harsh = num(df, "Total_Harsh_Events_per_Day")
     else:
         harsh = num(df, parts[0], 0.0) + num(df, parts[1], 0.0) + num(df, parts[2], 0.0)
-    rpm, load, speed = num(df, "RPM", 0.0), num(df, "Engine_Load_pct", 0.0), num(df, "Speed_kmh", 0.0)
+    # An absent column counts as 0; where a column is there, its empty cells leave the ratios empty.
+    rpm, load, speed = (num(df, c) if has(df, c) else F.lit(0.0) for c in ("RPM", "Engine_Load_pct", "Speed_kmh"))
     df = df.withColumns({"__harsh": harsh, "RPM_per_Speed": rpm / (speed + F.lit(0.1)),
                          "Load_per_RPM": load / (rpm + F.lit(0.1))})
     inputs = {

@@ -261,3 +261,46 @@ def test_encoder_is_fitted_once_and_model_round_trips(spark, tmp_path):
     assert statistics.classification_metrics(scored, "Predicted_Risk_Score", "Risk_Label").first()["roc_auc"] == 1.0
     importance = modeling.permutation_importance(model, test, encoder.features).collect()
     assert importance[0]["feature"] == "score" and importance[0]["importance"] > 0.1
+
+
+def test_many_levels_are_numbered_in_order(spark):
+    """Codes are the places in code point order; no column per level is made."""
+    words = sorted({"".join(chr(c) for c in random.Random(k).choices(range(33, 900), k=4)) for k in range(20_000)})
+    df = spark.createDataFrame([(w, k % 2 == 0, ["Urban", "Gravel", None][k % 3]) for k, w in enumerate(words)] + [(None, None, "Urban")],
+                               "Kind string, Hot boolean, Road_Type string").repartition(5)
+    encoder = modeling.fit_features(df)
+    assert encoder.numeric == ["Hot"] and encoder.size == 3
+    place = {w: float(k) for k, w in enumerate(sorted([*words, "missing"]))}
+    later = spark.createDataFrame([(w, True, "Gravel") for w in words[::1000]] + [(None, False, "Urban"), ("never seen", None, "never seen")],
+                                  "Kind string, Hot boolean, Road_Type string")
+    rows = encoder.transform(later.withColumn("was", F.col("Kind")), show_dummies=False).collect()
+    assert all(r["Kind"] == place.get(r["was"] or "missing", float(len(place))) for r in rows) and len(rows) == 22
+    hot = {(r["was"] == "never seen" or r["was"] is None): list(r["features"].toArray()) for r in rows}
+    assert hot[False][0] == 1.0 and hot[False][2] == 0.0 and {r["features"].toArray()[2] for r in rows} == {0.0, 1.0}
+    names = {r["position"]: r["feature"] for r in encoder.names(spark).collect()}
+    assert [names[k] for k in range(3)] == encoder.features == ["Hot", "Kind", "Road_Type_Urban"]
+
+
+def test_logistic_fit_meets_its_bound(spark):
+    from pyspark.ml.functions import array_to_vector
+    rng, rows = random.Random(8), []
+    for k in range(4000):
+        x, z = rng.gauss(0, 1), rng.gauss(5e5, 1e3)  # one feature large and of little spread
+        rows.append(([x, z, 1.0, 2 * x + rng.gauss(0, 0.1)], int(rng.random() < 1 / (1 + 2.718281828 ** -(0.7 + 1.5 * x - 0.002 * (z - 5e5))))))
+    df = spark.createDataFrame(rows, "x array<double>, Risk_Label int").select("Risk_Label", array_to_vector("x").alias("features"))
+    fitted = modeling.fit_logistic(df)
+    assert fitted.gradient <= 1e-6 and fitted.coefficients[2] == 0.0
+    assert fitted.coefficients[0] + 2 * fitted.coefficients[3] == pytest.approx(1.5, abs=0.2) and fitted.coefficients[1] == pytest.approx(-0.002, abs=3e-4)
+    mean, shown = df.agg(F.avg("Risk_Label"), F.avg(fitted.probability())).first()
+    assert mean == pytest.approx(shown, abs=1e-5)
+    with pytest.raises(modeling.NotConverged):
+        modeling.fit_logistic(df, steps=1)
+    table = modeling.odds_ratios(df, ["a", "b", "c", "d"], n=2).collect()
+    assert len(table) == 2 and table[0]["odds_ratio"] == pytest.approx(2.718281828459045 ** table[0]["coef"])
+
+
+def test_empty_cells_leave_the_ratios_empty(spark):
+    df = testdata.history(spark, SF_SMALL).withColumn("RPM", F.when(F.col("event_id") % 2 == 0, F.col("RPM")))
+    rows = statistics.synthesize_targets(df)
+    assert rows.where("event_id % 2 = 1 AND (RPM_per_Speed IS NOT NULL OR Load_per_RPM IS NOT NULL)").isEmpty()
+    assert rows.where("event_id % 2 = 0 AND RPM_per_Speed IS NULL").isEmpty()
