@@ -31,7 +31,9 @@ Defined results. NULL, empty and blank texts are empty sets, linked with nothing
 document of fewer words than a shingle is one shingle of all its words. Rows with a NULL
 doc_id are nodes named by a hash of their text; the component's id is the smallest doc_id
 that is not NULL, and NULL where there is none. Repeated rows give repeated result rows.
-Rows that share a doc_id but not a text count as one document for reachability.
+Rows that share a doc_id but not a text are documents of their own. A text of any length is
+read whole; one text is in memory at a time, beside pieces of bounded size. An empty table
+gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -46,8 +48,8 @@ from pyspark.sql import functions as F
 from fleetrisk.functions.runtime import settle
 from fleetrisk.llm.components import merge
 from fleetrisk.llm.textbatch import NOT_SPACE, lists, mix, pieces, window_hashes
-from fleetrisk.llm.verify import (Family, _may, apart_pairs, classes_of, fold, linked, linked_pairs, pairs_in_reach,  # noqa: F401
-                                  parity, shingles, text_nodes, visit_links, visits_in_reach, wide_bitmaps)
+from fleetrisk.llm.verify import (Family, _may, apart_pairs, classes_of, fold, free_name, linked, linked_pairs, pairs_in_reach,  # noqa: F401
+                                  parity, shingles, text_nodes, visit_links, visits_in_reach, wide_bitmaps, with_nodes)
 
 SHINGLE = 3
 PERCENT = 90
@@ -373,15 +375,15 @@ def near_copies(documents: DataFrame, percent: int = PERCENT, shingle: int = SHI
 def keep_one(documents: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``documents`` with one row of each component: the smallest doc_id's.
 
-    Rows with an empty set are all kept. Of repeated rows one stays.
+    Rows with an empty set are all kept. Of repeated rows one stays. Different texts of one
+    doc_id are judged each by itself. Other columns may have any name.
     """
     sets, labels = _join(documents, percent, shingle)
     classes = classes_of(sets, labels)
     rows = sets.where("n > 0").join(classes.select("a", "b", F.col("n").alias("size"), "comp"), ["a", "b"])
     first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("first"))
-    keep = first.select(F.col("first.id").alias("__id")).distinct()
-    text = F.col("text").cast("string")
-    named = documents.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64(text)))
-    blank = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    kept = named.where(~blank).join(keep, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    node = free_name(documents, "node")
+    keep = first.select(F.col("first.id").alias(node)).distinct()
+    blank = ~F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    kept = with_nodes(documents.where(~blank), node).join(keep, node, "left_semi").dropDuplicates([node]).drop(node)
     return kept.unionByName(documents.where(blank))

@@ -25,9 +25,9 @@ Defined results. NULL, empty and blank texts are empty sets, linked with nothing
 fewer words than a shingle is one shingle of all its words. Rows with a NULL doc_id are nodes
 named by a hash of their text; the component's id is the smallest doc_id that is not NULL, and
 NULL where there is none; ``kept`` then is true. Repeated rows give repeated result rows. Rows
-that share a doc_id but not a text count as one document for reachability. A text of any length
-is read whole; one text is in memory at a time, beside pieces of bounded size. Empty tables give
-no rows. Other columns, whatever their names, are not read.
+that share a doc_id but not a text are documents of their own. A text of any length is read
+whole; one text is in memory at a time, beside pieces of bounded size. Empty tables give no
+rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -34,7 +34,7 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 def _near_copies_sql(shingle: int, percent: int, more: str = "") -> str:
     """Links between distinct sets by their common shingles, and the smallest doc_id that links reach.
 
-    Documents of one set are one node, and so are documents of one doc_id.
+    Documents of one set are one node.
     """
     return f"""
 WITH RECURSIVE words AS (
@@ -49,9 +49,7 @@ pairs AS (
   SELECT x.class AS x, y.class AS y FROM grams x JOIN grams y ON x.g = y.g AND x.class < y.class
   WHERE 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)
   GROUP BY x.class, y.class, x.n, y.n HAVING 100 * count(*) >= {percent} * (x.n + y.n - count(*))),
-links AS (
-  SELECT x, y FROM pairs UNION SELECT y, x FROM pairs
-  UNION SELECT a.class, b.class FROM members a JOIN members b ON a.doc_id = b.doc_id AND a.class <> b.class),
+links AS (SELECT x, y FROM pairs UNION SELECT y, x FROM pairs),
 reach AS (
   SELECT DISTINCT x AS class, x AS other FROM links
   UNION SELECT reach.class, links.y FROM reach JOIN links ON reach.other = links.x),

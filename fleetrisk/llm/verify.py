@@ -290,10 +290,35 @@ def visit_links(visits: DataFrame, labels: DataFrame, votes: DataFrame, texts: D
 
 # ---------------------------------------------------------------- nodes and classes
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of the frame has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_nodes(documents: DataFrame, name: str) -> DataFrame:
+    """The rows with the name of their node: the doc_id, or a hash of doc_id and text.
+
+    The hash stands for rows without a doc_id, and for rows whose doc_id also stands at another
+    text: such rows are documents of their own.
+    """
+    doc_id, text = F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    ids = documents.select(doc_id.alias("twice"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("f")).where("twice IS NOT NULL")
+    twice = ids.groupBy("twice").agg(F.min("f").alias("low"), F.max("f").alias("high")).where("low <> high").select("twice")
+    twice = settle(twice, "twice")
+    if twice.isEmpty():
+        return documents.withColumn(name, F.coalesce(doc_id, F.xxhash64(doc_id, text)))
+    mark = free_name(documents, "twice")
+    marked = documents.join(twice.withColumnRenamed("twice", mark), doc_id == F.col(mark), "left")
+    return marked.withColumn(name, F.coalesce(F.when(F.col(mark).isNull(), doc_id), F.xxhash64(doc_id, text))).drop(mark)
+
+
 def text_nodes(documents: DataFrame) -> DataFrame:
-    text = F.col("text").cast("string")
-    doc_id = F.col("doc_id").cast("bigint")
-    return documents.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.xxhash64(text)).alias("id"), text.alias("text"))
+    """(doc_id, id, text): ``id`` names the row's node."""
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_nodes(rows, "id").select("doc_id", "id", "text")
 
 
 def apart_pairs(pairs: DataFrame, labels: DataFrame) -> DataFrame:

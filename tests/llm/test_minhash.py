@@ -103,3 +103,20 @@ def test_partners_of_a_hot_text_are_dealt_out(spark, monkeypatch):
         rows.append((k, " ".join(text)))
     got = minhash.near_duplicates(reachable(spark).createDataFrame(rows, "doc_id bigint, text string"))
     assert {(r.doc_id, r.component_id) for r in got.collect()} == {(k, 0) for k in range(40)}
+
+
+def test_texts_of_one_doc_id_are_judged_apart(spark):
+    """Unrelated texts under one doc_id, columns of the names the operators use themselves."""
+    from fleetrisk.llm import jaccard
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(1, one), (1, two), (2, two), (3, three), (3, three), (None, one), (None, "lonely words of no id at all"), (4, None)]
+    docs = reachable(spark).createDataFrame([(*r, 7, 8, 9, 10) for r in rows], "doc_id bigint, text string, node int, __id int, id int, twice int")
+    got = Counter(map(tuple, minhash.near_duplicates(docs).collect()))
+    n = len(one.split(" ")) - 4
+    assert got == Counter([(1, n, 1, True), (1, n, 1, True), (2, n, 1, False), (3, n, 3, True), (3, n, 3, True), (None, n, 1, False),
+                           (None, 3, None, True), (4, 0, 4, True)])
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(
+        [(1, one), (1, two), (3, three), (None, "lonely words of no id at all"), (4, None)])
+    assert jaccard.keep_one(docs.limit(0)).count() == 0
