@@ -5,6 +5,8 @@ quality rules -> n-gram Jaccard join -> benchmark decontamination -> mixing -> s
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetrisk.functions.runtime import shared_folder
@@ -55,9 +57,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a data folder."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{spark.sparkContext.applicationId}-{id(docs)}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
