@@ -3,28 +3,31 @@
 A byte goes if a string of ``LENGTH`` bytes covers it that also starts earlier. The corpus
 is too large for one index, so every string of that length is first given an anchor: its
 smallest hashed ``GRAM``-byte piece (the leftmost of equals). Equal strings have equal
-anchors at equal places, so they meet under the anchor's hash; anchors seen once cannot lie
-in a repeat and are dropped. What is left are contexts: the bytes of all strings in a row
-that share an anchor. They are dealt out by the anchor's hash.
-
-In a task the distinct contexts form blocks, and each block gets a run-length index: the
-Burrows-Wheeler transform of its contexts as runs of equal bytes, with the text position
-sampled at both ends of every run. Contexts are streamed through it from right to left by
-matching statistics: while the byte is the one before the current row, the match grows; if
-not, the stream goes on from the nearest run end of that byte, whose sampled position says
-how much of the match is left. Where the match is long enough, its row lies in a class of
-rows with equal first ``LENGTH`` bytes, and the class knows its earliest position.
-
-Exact copies of a text are whole repeats of the first one (smallest doc_id). They are found
-by two fingerprints and take no part in the index, and copies of a context share its marks,
-so a large group of copies costs a row per copy and one context per anchor.
+anchors at equal places. The bytes of all strings in a row that share an anchor are a context.
+
+* Exact copies of a text are whole repeats of the first one (smallest doc_id). Only the first
+  one goes on; texts that a bitmap of the repeated fingerprints rules out are not shuffled.
+* Anchors are counted over the corpus. An anchor seen once cannot lie in a repeat; a bitmap of
+  the others decides, in a second pass over the texts, which contexts are cut out at all.
+* Equal contexts are one class. All but the first of a class are repeats as a whole, and only
+  the first goes on, and only where its anchor has several classes.
+* The contexts of an anchor that has many are cut by the anchor's place in the string, into
+  parts that each share the bytes which all strings of that part hold around the anchor. Equal
+  strings still meet, and no anchor is one task however many surroundings it has.
+* In a task the contexts of each anchor are halved again and again. The earlier halves form a
+  run-length index: the Burrows-Wheeler transform as runs of equal bytes, with the text position
+  sampled at both ends of every run. The later halves are streamed through it from right to left
+  by matching statistics: while the byte is the one before the current row, the match grows; if
+  not, the stream goes on from the nearest run end of that byte, whose sampled position says how
+  much of the match is left. A match of ``LENGTH`` bytes is a string that also starts earlier.
 
 Defined results. NULL texts are empty: no bytes, nothing removed, the checksum of no bytes.
 Texts shorter than ``LENGTH`` lose nothing. Rows without a doc_id come after all others.
 A document is named by its doc_id and its text's fingerprints (64 bits and a tag of 16 more):
 repeated rows are the same document and are judged alike; different texts that share a doc_id,
-or have none, follow each other by fingerprint. An empty table gives no rows. Other columns
-are not read.
+or have none, follow each other by fingerprint. Contexts are equal when two 64-bit hashes are.
+A text of any length is read whole; one text is in memory at a time, beside pieces of bounded
+size. An empty table gives no rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,33 +37,38 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.runtime import settle
-from fleetrisk.llm.jaccard import _complete
-from fleetrisk.llm.textbatch import BYTE_VALUE, MULTIPLIER, mix, pieces, span_hashes, utf8
+from fleetrisk.llm.bitmaps import Counts, bitmap, held_in
+from fleetrisk.llm.textbatch import mix, pieces, span_hashes, utf8
 
 LENGTH = 100
-GRAM = 32
-#: Bytes of distinct contexts that one index takes (one anchor's contexts at least).
+GRAM = 48
+#: Bytes of contexts that go through the index together (one anchor's contexts at least).
 BLOCK_BYTES = 2 << 20
+#: Classes of contexts from which an anchor's are cut by place.
+CROWDED = 2_000
+#: Places of the anchor in the string that one such part takes.
+PLACES = 14
+#: Anchors whose counts a task holds before it hands them out.
+HELD = 2_000_000
 
 _TAG = (1 << 16) - 1
 _LAST = (1 << 63) - 1
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM):
-    """(hash, row, begin, count) of each run of strings that share an anchor."""
+    """(hash, row, begin, count, offset) of each run of strings that share an anchor.
+
+    ``offset`` is the anchor's place in the first string of the run.
+    """
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < length:
-        return none.astype(np.uint64), none, none, none
-    h, size, factor = BYTE_VALUE[data], 1, MULTIPLIER
-    while size < gram:
-        h = h[:-size] * np.uint64(factor) + h[size:]
-        size, factor = 2 * size, factor * factor % (1 << 64)
-    h = mix(h)
+        return none.astype(np.uint64), none, none, none, none
+    h = span_hashes(data, np.arange(n - gram + 1), np.arange(gram, n + 1))
     at, span, width = np.arange(len(h), dtype=np.int32), 1, length - gram + 1
     while span < width:
         step = min(span, width - span)
@@ -74,17 +82,20 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: in
     new = np.ones(len(at), bool)
     new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
-    return h[at[first]], row[first], begin[first] - starts[row[first]], np.diff(np.append(first, len(at)))
+    return (h[at[first]], row[first], begin[first] - starts[row[first]], np.diff(np.append(first, len(at))),
+            at[first].astype(np.int64) - begin[first])
 
 
 class RunIndex:
     """Run-length Burrows-Wheeler index of short strings.
 
     ``data`` holds the strings one after the other, string k is data[starts[k]:starts[k+1]].
-    A suffix ends with its string; equal suffixes are in string order.
+    A suffix ends with its string; equal suffixes are in string order. Strings of different
+    ``parts`` (numbers in order, one for each string) have nothing in common: their bytes count
+    as different symbols, so one index serves many small sets of strings.
     """
 
-    def __init__(self, data: np.ndarray, starts: np.ndarray, length: int = LENGTH):
+    def __init__(self, data: np.ndarray, starts: np.ndarray, parts: np.ndarray):
         strings = len(starts) - 1
         sizes = np.diff(starts)
         n = len(data) + strings
@@ -94,7 +105,8 @@ class RunIndex:
         inside[self.stops] = False
         code[inside] = data + 1
         left = np.repeat(self.stops, sizes + 1) - np.arange(n)  # bytes up to the string's end
-        self.code, self.left, self.length = code, left, length
+        part = np.repeat(parts, sizes + 1).astype(np.int64)
+        self.code, self.left = part * 257 + code, left
 
         key, size = code.astype(np.uint64), 1
         while size < 8:
@@ -102,17 +114,13 @@ class RunIndex:
             later[:-size] = key[size:]
             key = (key << np.uint64(8 * size)) | np.where(left > size - 1, later, 0)
             size *= 2
-        order, rank = self._ranks(key)
-        at_64 = None
-        while size < max(int(sizes.max()) + 1, length):
-            if size == 64:
-                at_64 = rank
+        _, rank = self._ranks(key)
+        order, rank = self._ranks(part * np.int64(n + 1) + rank)
+        while size < int(sizes.max()) + 1:
             later = np.zeros(n, np.int64)
             later[:-size] = rank[size:] + 1
             order, rank = self._ranks(rank * np.int64(n + 1) + np.where(left > size - 1, later, 0))
             size *= 2
-        at_64 = rank if at_64 is None else at_64
-        self._classes(order, at_64)
         self._runs(order)
 
     @staticmethod
@@ -125,19 +133,9 @@ class RunIndex:
         rank[order] = np.cumsum(new)
         return order, rank
 
-    def _classes(self, order: np.ndarray, at_64: np.ndarray) -> None:
-        """Rows with equal first bytes, and the earliest position of each such class."""
-        later = np.zeros(len(order), np.int64)
-        shift = self.length - 64
-        later[:len(order) - shift] = at_64[shift:]
-        full = self.left[order] >= self.length
-        same = full[1:] & full[:-1] & (at_64[order[1:]] == at_64[order[:-1]]) & (later[order[1:]] == later[order[:-1]])
-        self.class_start = np.flatnonzero(np.append(True, ~same))
-        self.class_first = np.minimum.reduceat(order, self.class_start)
-
     def _runs(self, order: np.ndarray) -> None:
         """Runs of the transform with their first row, step to the next row, and end samples."""
-        before = np.where(order > 0, self.code[order - 1], 0)
+        before = self.code[order - 1]  # the text is taken as a ring
         new = np.append(True, before[1:] != before[:-1])
         self.run_start = np.flatnonzero(new)
         self.head = before[self.run_start]
@@ -147,7 +145,7 @@ class RunIndex:
         target[by_head] = np.concatenate([[0], np.cumsum(size[by_head])[:-1]])
         self.step = target - self.run_start
         self.first_at, self.last_at = order[self.run_start], order[self.run_start + size - 1]
-        self.by_head, self.head_from = by_head, np.searchsorted(self.head[by_head], np.arange(258))
+        self.by_head, self.heads = by_head, self.head[by_head]
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many bytes the suffixes at a and b share, ``most`` at most."""
@@ -164,20 +162,20 @@ class RunIndex:
             out[live] = k + 1
         return out
 
-    def matching_statistics(self, data: np.ndarray, starts: np.ndarray):
-        """For every byte of the patterns: length of the match from there, and its row.
+    def matching_statistics(self, data: np.ndarray, starts: np.ndarray, parts: np.ndarray) -> np.ndarray:
+        """For every byte of the patterns: length of its match with strings of the pattern's part.
 
         All patterns move on by a byte at a time, from their right ends.
         """
         sizes = np.diff(starts)
-        length, row_at = np.zeros(len(data), np.int64), np.zeros(len(data), np.int64)
+        length = np.zeros(len(data), np.int64)
         row = np.zeros(len(sizes), np.int64)
         place = np.full(len(sizes), self.stops[0])  # text position of the row's suffix
         match = np.zeros(len(sizes), np.int64)
         live = np.flatnonzero(sizes > 0)
         for back in range(1, int(sizes.max()) + 1 if len(sizes) else 0):
             live = live[sizes[live] >= back]
-            c = data[starts[live + 1] - back].astype(np.int64) + 1
+            c = parts[live] * np.int64(257) + data[starts[live + 1] - back] + 1
             run = np.searchsorted(self.run_start, row[live], "right") - 1
             off = np.flatnonzero(self.head[run] != c)
             if len(off):
@@ -190,18 +188,18 @@ class RunIndex:
             lost = live[~known]  # a byte that the index does not have
             row[lost], place[lost], match[lost] = 0, self.stops[0], 0
             at = starts[live + 1] - back
-            length[at], row_at[at] = match[live], row[live]
-        return length, row_at
+            length[at] = match[live]
+        return length
 
     def _jump(self, lanes, c, run, off, row, place, match) -> None:
         """Moves lanes to the nearer-matching run end of their byte, above or below."""
-        low, high = self.head_from[c], self.head_from[c + 1]
+        low, high = np.searchsorted(self.heads, c, "left"), np.searchsorted(self.heads, c, "right")
         have = low < high
         lanes, c, off, low, high = lanes[have], c[have], off[have], low[have], high[have]
         if not len(lanes):
             return
         # Runs of one byte stand in row order within by_head.
-        key = self.head[self.by_head].astype(np.int64) * (len(self.run_start) + 1) + self.by_head
+        key = self.heads * (len(self.run_start) + 1) + self.by_head
         nxt = np.searchsorted(key, c * (len(self.run_start) + 1) + run[off])
         best = np.full(len(lanes), -1, np.int64)
         r, at = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64)
@@ -219,111 +217,166 @@ class RunIndex:
         place[lanes], match[lanes] = at, best
         run[off] = r
 
-    def earliest(self, rows: np.ndarray) -> np.ndarray:
-        """The earliest position whose first bytes equal those of the rows' suffixes."""
-        return self.class_first[np.searchsorted(self.class_start, rows, "right") - 1]
 
+def _strings(data: np.ndarray, starts: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes and starts of some of the strings, and where their bytes stand in ``data``."""
+    sizes = starts[chosen + 1] - starts[chosen]
+    new = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(starts[chosen] - new[:-1], sizes) + np.arange(new[-1])
+    return data[at], new, at
 
-def repeated_starts(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which bytes of the strings begin a string of ``length`` that begins earlier, too."""
-    index = RunIndex(data, starts, length)
-    match, row = index.matching_statistics(data, starts)
-    long = np.flatnonzero(match >= length)
-    own = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    out = np.zeros(len(data), bool)
-    out[long] = index.earliest(row[long]) < long + own[long]
-    return out
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    size = high - low
+    cut = np.concatenate([[0], np.cumsum(size)])
+    return np.repeat(low - cut[:-1], size) + np.arange(cut[-1])
 
-# ---------------------------------------------------------------- the operator
 
-def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(anchor, text, place): place packs start, number of strings and a tag of the text."""
-    for batch in batches:
-        f1 = batch.column("f1").to_numpy(zero_copy_only=False)
-        f2 = batch.column("f2").to_numpy(zero_copy_only=False)
-        for piece in pieces(batch.column("text")):
-            value, row, begin, count = anchors(piece.data, piece.starts)
-            row = row + piece.first
-            place = (begin << 23) | (count << 16) | (f2[row] & _TAG)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(f1[row]), pa.array(place)],
-                                             names=["anchor", "f1", "place"])
-
-
-def _seen_twice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows without their copies, of anchors that occur twice or more in different places."""
-    names = ["anchor", "f1", "place"]
-    for columns, part in _complete(batches, names):
-        new = np.ones(len(columns[0]), bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
-        columns = [c[new] for c in columns]
-        same = np.append(False, columns[0][1:] == columns[0][:-1])
-        keep = same | np.append(same[1:], False) | part
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=names)
-
-
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one document follow each other, texts first: the bytes of every context."""
-    now, texts = None, {}
+def repeated_starts(data: np.ndarray, starts: np.ndarray, group: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which bytes begin a string of ``length`` that also stands in an earlier string of the group.
+
+    The strings of a group follow each other. Earlier halves of all groups are indexed, later
+    halves streamed; then the halves are halved, until every two strings of a group have met.
+    """
+    out = np.zeros(len(data), bool)
+    low = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    high = np.append(low[1:], len(group))
+    while True:
+        some = high - low > 1
+        low, high = low[some], high[some]
+        if not len(low):
+            return out
+        middle = (low + high + 1) // 2
+        part = np.arange(len(low))
+        index = RunIndex(*_strings(data, starts, _ranges(low, middle))[:2], np.repeat(part, middle - low))
+        bytes_, begins, at = _strings(data, starts, _ranges(middle, high))
+        out[at[index.matching_statistics(bytes_, begins, np.repeat(part, high - middle)) >= length]] = True
+        low, high = np.concatenate([low, middle]), np.concatenate([middle, high])
+        order = np.argsort(low)
+        low, high = low[order], high[order]
+
+
+# ---------------------------------------------------------------- contexts
+
+def _anchor_counts(skip: np.ndarray | None, limit: int):
+    """Counts of anchors; texts whose fingerprint is in ``skip`` are left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(limit)
+        for batch in batches:
+            wanted = _wanted(batch, skip)
+            for piece in pieces(batch.column("text")):
+                value, row, *_ = anchors(piece.data, piece.starts)
+                counts.add(value[wanted[row + piece.first]])
+                if counts.full():
+                    yield from counts.take()
+        yield from counts.take()
+    return run
+
+
+def _wanted(batch: pa.RecordBatch, skip: np.ndarray | None) -> np.ndarray:
+    if skip is None:
+        return np.ones(batch.num_rows, bool)
+    return ~held_in([skip], batch.column("f1").to_numpy(zero_copy_only=False).view(np.uint64))
+
+
+def _binary(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    at = _ranges(begin, end)
+    offsets = np.concatenate([[0], np.cumsum(end - begin)]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(data[at].tobytes())])
+
+
+_CONTEXT = ["key", "id", "f1", "place", "offset", "c", "bytes"]
+_CONTEXT_TYPE = "key bigint, id bigint, f1 bigint, place bigint, offset bigint, c bigint, bytes binary"
+
+
+def _contexts(often: np.ndarray, skip: np.ndarray | None):
+    """The contexts of anchors that may occur twice. ``place`` packs start, number of strings and the text's tag."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = _wanted(batch, skip)
+            ids, f1, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "f1", "tag"))
+            for piece in pieces(batch.column("text")):
+                value, row, begin, count, offset = anchors(piece.data, piece.starts)
+                some = np.flatnonzero(wanted[row + piece.first])
+                some = some[held_in([often], value[some])]
+                for k in range(0, len(some), 50_000):
+                    at = some[k:k + 50_000]
+                    start = piece.starts[row[at]] + begin[at]
+                    end = start + count[at] - 1 + LENGTH
+                    mine = row[at] + piece.first
+                    c = _hashes(piece.data, start, end)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(value[at].view(np.int64)), pa.array(ids[mine]), pa.array(f1[mine]),
+                         pa.array((begin[at] << 23) | (count[at] << 16) | tag[mine]), pa.array(offset[at]),
+                         pa.array(c.view(np.int64)), _binary(piece.data, start, end)], names=_CONTEXT)
+    return run
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    low = int(begin.min())
+    return span_hashes(data[low:int(end.max())], begin - low, end - low)
+
+
+def _by_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts cut by the anchor's place in the string; a part's key also holds the bytes all its strings share."""
     for batch in batches:
-        raw, at = utf8(batch.column("text"))
-        ids, f1, places = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "f1", "place"))
-        tags = places & _TAG
-        is_text = batch.column("text").is_valid().to_numpy(zero_copy_only=False)
-        hashes = batch.column("anchor").fill_null(0).to_numpy(zero_copy_only=False)
-        rows, found = [], []
-        for k in range(batch.num_rows):
-            if is_text[k]:
-                if (ids[k], f1[k]) != now:
-                    now, texts = (ids[k], f1[k]), {}
-                if tags[k] not in texts:
-                    texts[tags[k]] = raw[at[k]:at[k + 1]].tobytes()
-            elif (ids[k], f1[k]) == now and tags[k] in texts:
-                begin, count = int(places[k]) >> 23, (int(places[k]) >> 16) & 127
-                rows.append(k)
-                found.append(texts[tags[k]][begin:begin + count - 1 + LENGTH])
-        rows = np.array(rows, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[rows]), pa.array(ids[rows]), pa.array(f1[rows]), pa.array(places[rows]),
-                                          pa.array(found, pa.binary())], names=["anchor", "id", "f1", "place", "bytes"])
-
-
-def _block(anchor, ids, f1, places, raw, at) -> pa.RecordBatch:
+        if not batch.num_rows:
+            continue
+        raw, at = utf8(batch.column("bytes"))
+        key, ids, f1, place, offset = (batch.column(c).to_numpy(zero_copy_only=False) for c in _CONTEXT[:5])
+        begin, count, tag = place >> 23, (place >> 16) & 127, place & _TAG
+        for low in range(0, LENGTH - GRAM + 1, PLACES):
+            high = min(low + PLACES, LENGTH - GRAM + 1)
+            first, last = np.maximum(0, offset - high + 1), np.minimum(count - 1, offset - low)
+            rows = np.flatnonzero(first <= last)
+            if not len(rows):
+                continue
+            first, last, base = first[rows], last[rows], at[:-1][rows]
+            shared = _hashes(raw, base + offset[rows] - low, base + offset[rows] - high + 1 + LENGTH)
+            own = mix(key[rows].view(np.uint64) ^ mix(shared + np.uint64(low)))
+            start, end = base + first, base + last + LENGTH
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own.view(np.int64)), pa.array(ids[rows]), pa.array(f1[rows]),
+                 pa.array(((begin[rows] + first) << 23) | ((last - first + 1) << 16) | tag[rows]), pa.array(offset[rows] - first),
+                 pa.array(_hashes(raw, start, end).view(np.int64)), _binary(raw, start, end)], names=_CONTEXT)
+
+
+def _marks_of(place: Column) -> list[Column]:
+    """tag, begin and end of a whole context."""
+    begin = F.shiftright(place, 23)
+    return [place.bitwiseAND(F.lit(_TAG)).alias("tag"), begin.alias("begin"),
+            (begin + F.shiftright(place, 16).bitwiseAND(F.lit(127)) - 1 + LENGTH).alias("end")]
+
+
+def _distinct(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Marks of all contexts that equal an earlier one, and the other contexts of anchors with several
+    classes, with the number of the anchor's classes in ``classes``."""
+    contexts = contexts.withColumn("c2", F.xxhash64("bytes"))
+    place = F.struct("id", "f1", "place")
+    classes = contexts.groupBy("c", "c2").agg(F.min(place).alias("first"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n"))
+    classes = settle(classes, "classes")
+    copies = contexts.drop("bytes").join(classes.where("n > 1").select("c", "c2", "first"), ["c", "c2"]).where(place != F.col("first"))
+    copies = copies.select("id", "f1", *_marks_of(F.col("place")))
+    varied = classes.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    chosen = classes.join(varied, "key").select("key", "first.*", "classes")
+    return copies, contexts.drop("c", "c2").join(chosen, ["key", "id", "f1", "place"])
+
+
+# ---------------------------------------------------------------- the index in tasks
+
+def _block(key, ids, f1, places, raw, at) -> pa.RecordBatch:
     """Removed byte ranges of the contexts of some anchors, all of an anchor's contexts."""
-    key = mix(span_hashes(raw, at[:-1], at[1:]) ^ mix(anchor.view(np.uint64)))
-    _, first, copy_of = np.unique(key, return_index=True, return_inverse=True)
-    source = first[copy_of]  # contexts are in order, so this is the earliest copy
-    distinct = np.flatnonzero(source == np.arange(len(source)))
-    same = anchor[distinct[1:]] == anchor[distinct[:-1]]
-    varied = np.append(same, False) | np.append(False, same)
-    chosen = distinct[varied]
-    begins = {}
-    if len(chosen):
-        sizes = at[chosen + 1] - at[chosen]
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        data = raw[np.repeat(at[chosen] - starts[:-1], sizes) + np.arange(starts[-1])]
-        hit = repeated_starts(data, starts)
-        for k in np.flatnonzero(np.add.reduceat(hit, starts[:-1])):
-            begins[int(chosen[k])] = np.flatnonzero(hit[starts[k]:starts[k + 1]])
-    start = places >> 23
-    count = (places >> 16) & 127
-    moved = (ids != ids[source]) | (f1 != f1[source]) | (places != places[source])
-    out_id, out_f1, out_tag, out_begin, out_end = [], [], [], [], []
-    for k in np.flatnonzero(moved):  # a copy: every string of it begins earlier, too
-        out_id.append(ids[k])
-        out_f1.append(f1[k])
-        out_tag.append(places[k] & _TAG)
-        out_begin.append(start[k])
-        out_end.append(start[k] + count[k] - 1 + LENGTH)
-    for k, found in begins.items():
-        cut = np.flatnonzero(np.diff(found) > 1) + 1
-        for piece in np.split(found, cut):
-            out_id.append(ids[k])
-            out_f1.append(f1[k])
-            out_tag.append(places[k] & _TAG)
-            out_begin.append(start[k] + piece[0])
-            out_end.append(start[k] + piece[-1] + LENGTH)
-    return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in (out_id, out_f1, out_tag, out_begin, out_end)],
-                                      names=["id", "f1", "tag", "begin", "end"])
+    hit = repeated_starts(raw, at, key)
+    begin = places >> 23
+    on = np.flatnonzero(hit)
+    string = np.searchsorted(at, on, "right") - 1
+    new = np.ones(len(on), bool)
+    new[1:] = (on[1:] != on[:-1] + 1) | (string[1:] != string[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(on)) - 1
+    own = string[first]
+    columns = (ids[own], f1[own], places[own] & _TAG, begin[own] + on[first] - at[own], begin[own] + on[last] - at[own] + LENGTH)
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=["id", "f1", "tag", "begin", "end"])
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +386,7 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def run(table: pa.Table) -> pa.RecordBatch:
         raw, at = utf8(table["bytes"])
-        columns = [table[c].to_numpy() for c in ("anchor", "id", "f1", "place")]
+        columns = [table[c].to_numpy() for c in ("key", "id", "f1", "place")]
         return _block(*columns, raw[at[0]:at[-1]], at - at[0])
     for batch in batches:
         held.append(batch)
@@ -341,8 +394,8 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size < BLOCK_BYTES:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
-        anchor = table["anchor"].to_numpy()
-        cut = np.flatnonzero(anchor[1:] != anchor[:-1]) + 1
+        key = table["key"].to_numpy()
+        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
         last = int(cut[-1]) if len(cut) else 0
         bytes_at = utf8(table["bytes"])[1]
         begin = 0
@@ -358,12 +411,15 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield run(pa.Table.from_batches(held).combine_chunks())
 
 
+# ---------------------------------------------------------------- the operator
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The digest of what is left of every text."""
     for batch in batches:
         raw, at = utf8(batch.column("text"))
         removed, spans, sha = [], [], []
-        for k, marks in enumerate(batch.column("marks").to_pylist()):
+        lists = batch.column("marks").to_pylist() if "marks" in batch.schema.names else [None] * batch.num_rows
+        for k, marks in enumerate(lists):
             text = raw[at[k]:at[k + 1]]
             gone = np.zeros(len(text) + 1, np.int64)
             for mark in marks or ():
@@ -387,31 +443,58 @@ def _texts(documents: DataFrame) -> DataFrame:
                             F.xxhash64(text).alias("f1"), f2.alias("f2"), f2.bitwiseAND(F.lit(_TAG)).alias("tag"))
 
 
+def _only(known: np.ndarray, inside: bool):
+    """The rows whose fingerprint may be (or, turned round, is certainly not) in the bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_wanted(batch, known) != inside))
+    return run
+
+
+_ROW = "id bigint, f1 bigint, f2 bigint, tag bigint, text string"
+
+
 def repeat_marks(documents: DataFrame) -> DataFrame:
     """(id, f1, tag, begin, end): removed byte ranges of a document; begin -1 stands for a whole text."""
-    texts = _texts(documents)
-    slim = settle(texts.where(F.octet_length("text") >= LENGTH).select("id", "f1", "f2", "tag"), "slim")
-    firsts = slim.groupBy("f1", "f2", "tag").agg(F.min("id").alias("first"))
-    copies = (slim.join(firsts, ["f1", "f2", "tag"]).where("id > first")
-              .select("id", "f1", "tag", F.lit(-1).cast("bigint").alias("begin"), F.lit(-1).cast("bigint").alias("end")).distinct())
-    rows = texts.where(F.octet_length("text") >= LENGTH).select("text", "f1", "f2")
-    rows = rows.mapInArrow(_anchored, "anchor bigint, f1 bigint, place bigint")
-    rows = rows.repartition("anchor").sortWithinPartitions("anchor", "f1", "place")
-    runs = settle(rows.mapInArrow(_seen_twice, "anchor bigint, f1 bigint, place bigint"), "anchors")
-    runs = runs.withColumn("tag", F.col("place").bitwiseAND(F.lit(_TAG)))
-    named = runs.join(firsts, ["f1", "tag"]).select(F.col("first").alias("id"), "f1", F.lit(None).cast("string").alias("text"), "anchor", "place")
-    none = F.lit(None).cast("bigint")
-    keyed = named.union(texts.where(F.octet_length("text") >= LENGTH).select("id", "f1", "text", none, "tag"))
-    keyed = keyed.repartition("id", "f1").sortWithinPartitions(F.col("id"), F.col("f1"), F.col("anchor").asc_nulls_first())
-    contexts = keyed.mapInArrow(_contexts, "anchor bigint, id bigint, f1 bigint, place bigint, bytes binary")
-    contexts = contexts.repartition("anchor").sortWithinPartitions("anchor", "id", "f1", "place")
-    marks = contexts.mapInArrow(_marked, "id bigint, f1 bigint, tag bigint, begin bigint, end bigint")
-    return marks.union(copies)
+    texts = _texts(documents).where(F.octet_length("text") >= LENGTH).select("id", "f1", "f2", "tag", "text")
+    slim = settle(texts.drop("text"), "slim")
+    same = slim.groupBy("f1", "f2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    same = settle(same.where("n > 1").drop("n"), "same")
+    whole = F.lit(-1).cast("bigint")
+    copies = slim.join(same, ["f1", "f2"]).where("id > first").select("id", "f1", "tag", whole.alias("begin"), whole.alias("end")).distinct()
+
+    # Texts that stand once are read where they lie; of the others the first one is settled.
+    twice = bitmap(same.select(F.col("f1").alias("key")))
+    place = F.row_number().over(Window.partitionBy("f1", "f2").orderBy("id"))
+    firsts = settle(texts.mapInArrow(_only(twice, True), _ROW).withColumn("place", place).where("place = 1").drop("place"), "firsts")
+
+    def over(run, schema: str) -> DataFrame:
+        return texts.mapInArrow(run(twice), schema).union(firsts.mapInArrow(run(None), schema))
+
+    counts = over(lambda skip: _anchor_counts(skip, HELD), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    often = bitmap(settle(counts.where("n > 1").select("key"), "anchors"))
+    contexts = settle(over(lambda skip: _contexts(often, skip), _CONTEXT_TYPE), "contexts")
+    equal, rows = _distinct(contexts)
+    rows = settle(rows, "distinct")
+    crowded = rows.where(F.col("classes") > CROWDED).withColumn("c", F.lit(0).cast("bigint")).select(*_CONTEXT)
+    parts = settle(crowded.mapInArrow(_by_place, _CONTEXT_TYPE), "parts")
+    equal_parts, part_rows = _distinct(parts)
+    columns = ["key", "id", "f1", "place", "bytes"]
+    rows = rows.where(F.col("classes") <= CROWDED).select(*columns).union(part_rows.select(*columns))
+    rows = rows.repartition("key").sortWithinPartitions("key", "id", "f1", "place")
+    marks = rows.mapInArrow(_marked, "id bigint, f1 bigint, tag bigint, begin bigint, end bigint")
+    return marks.union(equal).union(equal_parts).union(copies)
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """Per document row: bytes, removed bytes, removed runs, checksum of what is left."""
-    texts = _texts(documents)
+    texts = _texts(documents).select("doc_id", "id", "f1", "tag", "text")
     marks = repeat_marks(documents).groupBy("id", "f1", "tag").agg(F.collect_list(F.struct("begin", "end")).alias("marks"))
-    return texts.join(marks, ["id", "f1", "tag"], "left").select("doc_id", "text", "marks").mapInArrow(
-        _cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    marks = settle(marks, "marks")
+    # Only texts that may have marks are shuffled.
+    marked = bitmap(marks.select(F.col("f1").alias("key")).distinct())
+    row = "doc_id bigint, id bigint, f1 bigint, tag bigint, text string"
+    result = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    whole = texts.mapInArrow(_only(marked, False), row).select("doc_id", "text").mapInArrow(_cut, result)
+    rest = texts.mapInArrow(_only(marked, True), row).join(marks, ["id", "f1", "tag"], "left").select("doc_id", "text", "marks")
+    return whole.union(rest.mapInArrow(_cut, result))
