@@ -11,14 +11,19 @@ line), or if its text first starts later than another text within ``EDITS`` edit
 Lines without a word never count; lines of less than ``LEAST`` code points have exact copies
 only.
 
-Keys met by index and probe are kept first; then a bitmap of hashed 3-grams (an edit flips
-six bits at most) drops pairs that are surely further apart, inside the task, so a segment
-that many lines share does not send all its pairs on. Lines are known by 64-bit hashes.
+Of all keys only those move that can meet: a bitmap of the index keys goes to the texts again,
+and a probe is sent only where it may meet another line's key; a bitmap of these probes then
+decides which index entries are sent. (A bitmap lets a few more through, never less.) Next, a
+bitmap of hashed 3-grams (an edit flips six bits at most) drops pairs that are surely further
+apart, inside the task, so a segment that many lines share does not send all its pairs on. Only
+the texts of lines that are left in pairs are read out. Lines are known by 64-bit hashes.
 
 Defined results. NULL, empty and blank texts have no lines. A document is named by its doc_id and
 a 64-bit hash of its text: repeated rows are the same document, and each of them gives a
 result row; different texts that share a doc_id follow each other by their hashes. Rows
-without a doc_id come after all others, also by the hashes. Other columns are not read.
+without a doc_id come after all others, also by the hashes. A text of any length is read whole;
+one text is in memory at a time, beside pieces of bounded size. An empty table gives no rows.
+Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.runtime import settle
+from fleetrisk.llm.bitmaps import bitmap, held_in
 from fleetrisk.llm.jaccard import _complete
 from fleetrisk.llm.textbatch import INVERSE, MULTIPLIER, NOT_SPACE, mix, pieces, powers
 
@@ -105,19 +111,54 @@ def keys(lines: Lines, chosen: np.ndarray, edits: int = EDITS) -> Iterator[tuple
                     yield lines.hashes(start, start + width[ok]) ^ label[ok], ok, 1
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, kind, line)."""
-    for batch in batches:
-        for piece in pieces(batch.column("text"), 1 << 20):
-            lines = Lines(piece)
-            own = lines.hashes(lines.begin, lines.end)
-            _, chosen = np.unique(own, return_index=True)
-            chosen = chosen[lines.end[chosen] - lines.begin[chosen] >= LEAST]
-            ids = own[chosen].view(np.int64)
-            for key, which, kind in keys(lines, chosen):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(np.full(len(key), kind, np.int64)), pa.array(ids[which])],
-                    names=["key", "kind", "line"])
+def _chosen(piece) -> tuple[Lines, np.ndarray, np.ndarray]:
+    """The lines of a piece, the first of each different one that may have near copies, and their hashes."""
+    lines = Lines(piece)
+    own = lines.hashes(lines.begin, lines.end)
+    _, chosen = np.unique(own, return_index=True)
+    chosen = chosen[lines.end[chosen] - lines.begin[chosen] >= LEAST]
+    return lines, chosen, own[chosen].view(np.int64)
+
+
+def _index_keys(known: np.ndarray | None):
+    """(key, kind 0, line) of the lines' own segments, as far as the key is in the bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch.column("text"), 1 << 20):
+                lines, chosen, ids = _chosen(piece)
+                for key, which, kind in keys(lines, chosen):
+                    if kind == 0:
+                        some = slice(None) if known is None else held_in([known], key)
+                        yield _entries(key[some], 0, ids[which[some]])
+    return run
+
+
+def _probe_keys(index: np.ndarray, shared: np.ndarray):
+    """(key, kind 1, line) of probes that may meet another line's segment.
+
+    A probe that is one of the line's own segments counts only where another line has it, too.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch.column("text"), 1 << 20):
+                lines, chosen, ids = _chosen(piece)
+                own: list[np.ndarray] = []
+                for key, which, kind in keys(lines, chosen):
+                    if kind == 0:
+                        own.append(key)
+                        continue
+                    may = held_in([index], key)
+                    mine = np.zeros(len(key), bool)
+                    for segment in own:
+                        mine |= key == segment[which]
+                    may &= ~mine | held_in([shared], key)
+                    yield _entries(key[may], 1, ids[which[may]])
+    return run
+
+
+def _entries(key: np.ndarray, kind: int, line: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(key), kind, np.int64)), pa.array(line)],
+                                      names=["key", "kind", "line"])
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,31 +263,36 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["x", "y"]).filter(ok)
 
 
-def _line_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for piece in pieces(batch.column("text"), 1 << 20):
-            lines = Lines(piece)
-            own = lines.hashes(lines.begin, lines.end)
-            _, chosen = np.unique(own, return_index=True)
-            chosen = chosen[lines.end[chosen] - lines.begin[chosen] >= LEAST]
-            text = [piece.data[lines.byte_begin[k]:lines.byte_end[k]].tobytes() for k in chosen]
-            yield pa.RecordBatch.from_arrays([pa.array(own[chosen].view(np.int64)), pa.array(text, pa.binary()).cast(pa.string())],
-                                             names=["line", "text"])
+def _line_texts(wanted: np.ndarray):
+    """Hash and text of the lines whose hash is in the bitmap."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch.column("text"), 1 << 20):
+                lines, chosen, ids = _chosen(piece)
+                some = held_in([wanted], ids.view(np.uint64))
+                text = [piece.data[lines.byte_begin[k]:lines.byte_end[k]].tobytes() for k in chosen[some]]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(text, pa.binary()).cast(pa.string())], names=["line", "text"])
+    return run
 
 
 def near_lines(texts: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(x, y): different line texts within ``EDITS`` edits, each pair once or twice."""
-    text = texts.select("text")
-    keyed = text.mapInArrow(_keyed, "key bigint, kind bigint, line bigint")
+    text, entry = texts.select("text"), "key bigint, kind bigint, line bigint"
+    own = text.mapInArrow(_index_keys(None), entry).groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"))
+    own = settle(own.select("key", (F.col("low") < F.col("high")).alias("shared")), "segments")
+    index, shared = bitmap(own.select("key")), bitmap(own.where("shared").select("key"))
+    probes = settle(text.mapInArrow(_probe_keys(index, shared), entry).distinct(), "probes")
+    asked = bitmap(probes.select("key").distinct())
+    keyed = text.mapInArrow(_index_keys(asked), entry).distinct().union(probes)
     keyed = keyed.repartition("key").sortWithinPartitions("key", "kind", "line")
-    met = settle(keyed.mapInArrow(_met, "key bigint, kind bigint, line bigint"), "met")
+    met = settle(keyed.mapInArrow(_met, entry), "met")
     looks = occurrences.join(met.select("line").distinct(), "line", "left_semi").groupBy("line").agg(
         *[F.first(c).alias(c) for c in ("size", "g0", "g1")])
     pairs = (met.join(looks, "line").select("key", "kind", "line", "size", "g0", "g1")
              .repartition("key").sortWithinPartitions("key", "kind", "line"))
     pairs = settle(pairs.mapInArrow(_pairs, "x bigint, y bigint").distinct(), "pairs")
-    wanted = pairs.select(F.col("x").alias("line")).union(pairs.select("y")).distinct()
-    known = text.mapInArrow(_line_texts, "line bigint, text string").join(wanted, "line", "left_semi")
+    wanted = settle(pairs.select(F.col("x").alias("line")).union(pairs.select("y")).distinct(), "wanted")
+    known = text.mapInArrow(_line_texts(bitmap(wanted.select(F.col("line").alias("key")))), "line bigint, text string")
     known = settle(known.groupBy("line").agg(F.min("text").alias("text")), "lines")
     both = (pairs.join(known.select(F.col("line").alias("x"), F.col("text").alias("text_x")), "x")
             .join(known.select(F.col("line").alias("y"), F.col("text").alias("text_y")), "y"))
