@@ -11,14 +11,16 @@ Features are the text's words hashed into ``BUCKETS`` dimensions (square roots o
 shares), structure statistics of the text, and its recorded length (n_chars). Labels,
 language, source and id are never features.
 
-The fit uses a sample of about ``SAMPLE`` labelled rows (by a hash of the id). It is dealt
+The fit uses at most ``SAMPLE`` labelled documents (the lowest hashes of the id). They are dealt
 over ``PARTS`` tasks; in every round each task descends from the shared parameters over its
 part, and the parameters, of fixed size, are averaged.
 
 Defined results. NULL and empty texts have no words and zero statistics, and get the score
 that follows from that. Without labels every score is 0.5. Labels: rows without id or
 quality are left out; several labels of one id are averaged and rounded. Repeated document
-rows are scored alike. Other columns are not read; a table without n_chars counts as 0.
+rows are scored alike; the fit takes one document of an id. A text of any length is read whole;
+one text is in memory at a time, beside pieces of bounded size. An empty table gives no rows.
+Other columns are not read; a table without n_chars counts as 0.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.runtime import settle
@@ -168,26 +170,29 @@ def _held_out(modulus: int):
 
 
 def fit(documents: DataFrame, labels: DataFrame, modulus: int, sample: int = SAMPLE) -> Machine | None:
-    """A machine learned from about ``sample`` labelled rows outside the held-out part."""
+    """A machine learned from at most ``sample`` labelled documents outside the held-out part.
+
+    The ids with the lowest hashes are drawn; of several documents of one id, the one whose text
+    has the lowest hash is taken.
+    """
     known = (labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("quality"))
              .where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~_held_out(modulus)))
-    rows = known.count()
-    if not rows:
+    each = known.groupBy("doc_id").agg(F.round(F.avg("quality")).alias("label"))
+    drawn = settle(each.orderBy(F.xxhash64(F.lit("sample"), "doc_id"), "doc_id").limit(sample), "drawn")
+    if drawn.isEmpty():
         return None
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = (known.where(draw < min(1.0, sample / rows))
-             .groupBy("doc_id").agg(F.round(F.avg("quality")).alias("label")))
-    # The drawn labels are bounded by the sample size, so they may go to every task.
-    rows = _prepared(documents).join(F.broadcast(drawn), "doc_id")
+    # At most ``sample`` rows of two numbers, so they may go to every task.
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    rows = _prepared(documents).join(F.broadcast(drawn), "doc_id").withColumn("place", place).where("place = 1").drop("place")
     taken = settle(rows.mapInArrow(_sampled, "doc_id bigint, label double, at array<int>, x array<float>")
                    .repartition(PARTS, "doc_id"), "sample")
     machine = Machine.fresh()
     for turn in range(ROUNDS):
         def descend(batches: Iterator[pa.RecordBatch], start=machine, turn=turn) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(list(batches))
-            if not table.num_rows:
+            held = [b for b in batches if b.num_rows]
+            if not held:  # a part may get no rows
                 return
-            table = table.sort_by("doc_id")
+            table = pa.Table.from_batches(held).sort_by("doc_id")
             rows = list(zip(map(np.asarray, table["at"].to_pylist()), map(np.asarray, table["x"].to_pylist())))
             own = Machine(start.bias, start.weight.copy(), start.factor.copy())
             own.descend(rows, table["label"].to_numpy(), SEED + turn)

@@ -7,14 +7,15 @@ documents; the prediction is the language of the centroid with the largest cosin
 that lies further from its centroid than the texts it was learned from is marked as
 rejected; the nearest language is still named, so the caller decides what rejection means.
 
-The fit uses about ``SAMPLE`` documents of each language (drawn by a hash of the id); the
+The fit uses at most ``SAMPLE`` different documents of each language (the lowest hashes of id and text); the
 centroids of a language are found in one task of that bounded size, languages in parallel.
 Whole texts are read for learning and for prediction.
 
 Defined results. NULL texts and texts without a letter get ``und`` with score 0 and are
 rejected. Documents without a language teach nothing but are predicted. If there is nothing
 to learn from, every text is ``und``. Ties go to the language first in order. Repeated rows
-are predicted alike. Other columns are not read.
+are predicted alike. A text of any length is read whole; one text is in memory at a time, beside
+pieces of bounded size. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetrisk.functions.runtime import settle
+from fleetrisk.llm.bitmaps import bitmap, held_in
 from fleetrisk.llm.textbatch import Piece, lists, mix, pieces
 
 DIMENSIONS = 4096
@@ -136,12 +138,33 @@ class Model:
         return names, score, rejected
 
 
+def _may_be_drawn(draws: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(held_in([draws], batch.column("draw").to_numpy(zero_copy_only=False).view(np.uint64))))
+    return run
+
+
+def drawn_rows(documents: DataFrame, sample: int) -> DataFrame:
+    """(lang, text) of ``sample`` different documents of each language, all where it has fewer.
+
+    The draw is a hash of doc_id and text, and the lowest ones are taken: no more than ``sample``
+    for ids that repeat or are NULL, and the same ones in every run. Only hashes are ranked; a
+    bitmap of the chosen ones picks the texts, so no others are shuffled.
+    """
+    draw = F.xxhash64(F.lit("sample"), "doc_id", "text")
+    known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", draw.alias("draw"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    chosen = known.select("lang", "draw").distinct().withColumn("place", place).where(F.col("place") <= sample).drop("place")
+    chosen = settle(chosen, "drawn")
+    draws = bitmap(chosen.select(F.col("draw").alias("key")))
+    picked = known.mapInArrow(_may_be_drawn(draws), "lang string, text string, draw bigint")
+    return picked.join(chosen, ["lang", "draw"]).dropDuplicates(["lang", "draw"]).select("lang", "text")
+
+
 def fit(documents: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from ``documents`` (text, lang, doc_id): about ``sample`` of each language."""
-    known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.join(sizes, "lang").where(draw < F.lit(float(sample)) / F.col("rows")).select("lang", "text")
+    """Learns from ``documents`` (text, lang, doc_id): at most ``sample`` of each language."""
+    drawn = drawn_rows(documents, sample)
     vectors = settle(drawn.mapInArrow(_vectors, "lang string, at array<int>, n array<float>"), "vectors")
     rows = vectors.count()
     seen = vectors.select(F.explode("at").alias("at")).groupBy("at").count().toArrow()
