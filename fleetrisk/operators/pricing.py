@@ -116,17 +116,19 @@ def live_risk_table(df: DataFrame, as_of: datetime | None = None) -> DataFrame:
 
 
 def premium_schedule(df: DataFrame, rate: float = K.USD_TO_ZIG_RATE, live: DataFrame | None = None,
-                     order: Sequence[str | Column] | None = None) -> DataFrame:
+                     order: Sequence[str | Column] | None = None, unique_plates: bool = False) -> DataFrame:
     """The 20-column premium schedule.
 
-    Make, model, score and band come from the live risk table. With unique plates that
-    table is this frame's own canonical view, so no join is made unless ``live`` (with
-    ``order`` to pick its last row per plate) is given.
+    Make, model, score and band come from the last row per plate (by ``order``; without one the
+    greatest) of the live risk table: ``live``, or this frame's own canonical view. With
+    ``unique_plates`` that view is the frame itself, and no join is made.
     """
     if not all(has(df, c) for c in _SCHEDULE_INPUT):
         df = profitability(df, rate)
     if live is None:
         table = canonical_scores(df)
+        if not unique_plates and has(table, "Plate"):
+            table = overlay(table, table, ("Make", "Model", "Risk_Score", "Risk_Band"), order)
     else:
         table = overlay(df, live, ("Make", "Model", "Risk_Score", "Risk_Band"), order)
     table = add_zig_columns(table, rate)

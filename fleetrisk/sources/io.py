@@ -6,6 +6,7 @@ import os
 import uuid
 from collections.abc import Mapping
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,33 +75,76 @@ def read_json_row(spark: SparkSession, path: str) -> Mapping | None:
     return row[0].asDict(recursive=True) if row else None
 
 
+class StateConflict(RuntimeError):
+    """Another writer has committed the state that this one was about to replace."""
+
+
 class StateTable:
-    """I8: a keyed state table with atomic replacement.
+    """I8: a keyed state table with atomic replacement, safe against several writers.
 
-    Each version is written to a folder of its own; a one-row pointer table then names
-    the current version, so readers see the old or the new state and never a mixture.
-    Versions are numbered; the highest number is current, whatever the clocks say.
+    Each version is written to a folder of its own. It becomes current by a commit file with the
+    next number as its name, which is created only where no such file exists: of two writers that
+    start from one version, the first one commits and the second gets ``StateConflict``. Readers
+    see the old or the new state and never a mixture. Versions are numbered; the highest number
+    is current, whatever the clocks say.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self._spark, self._path = spark, path.rstrip("/")
-
-    def _current(self) -> tuple[int, str | None]:
+        self._seen: int | None = None
+
+    def _files(self, name: str):
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(f"{self._path}/{name}")
+        return path.getFileSystem(self._spark._jsc.hadoopConfiguration()), path
+
+    def _commits(self) -> dict[int, str | None]:
+        """Version folders by number; None where a writer ended before it had named its folder."""
+        files, path = self._files("current")
+        if not files.exists(path):
+            return {}
+        names = [status.getPath().getName() for status in files.listStatus(path)]
+        return {int(name): self._folder(name) for name in names if not name.startswith((".", "_"))}
+
+    def _folder(self, name: str) -> str | None:
+        files, path = self._files(f"current/{name}")
+        if files.getFileStatus(path).getLen() == 0:
+            return None
+        stream = files.open(path)
         try:
-            pointer = self._spark.read.parquet(f"{self._path}/current")
-        except AnalysisException as error:
-            _only_missing(error)
-            return 0, None
-        row = pointer.orderBy(F.desc("number"), F.desc("version")).limit(1).collect()
-        return (row[0]["number"], row[0]["version"]) if row else (0, None)
+            return stream.readUTF()
+        finally:
+            stream.close()
 
     def read(self) -> DataFrame | None:
-        version = self._current()[1]
-        return None if version is None else self._spark.read.parquet(f"{self._path}/{version}")
-
-    def replace(self, df: DataFrame) -> None:
+        """The current state; a later ``replace`` of this table object takes its place."""
+        commits = self._commits()
+        self._seen = max(commits, default=0)
+        whole = [number for number, folder in commits.items() if folder]
+        return self._spark.read.parquet(f"{self._path}/{commits[max(whole)]}") if whole else None
+
+    def replace(self, df: DataFrame, keep: int = 2) -> int:
+        """Commits ``df`` in place of the state that was read last, and returns its number.
+
+        Without an earlier ``read`` it takes the place of the state that is current at the start.
+        The ``keep`` latest versions stay readable; older ones are removed.
+        """
+        base = self._seen if self._seen is not None else max(self._commits(), default=0)
         version = f"version={uuid.uuid4().hex}"
         df.write.parquet(f"{self._path}/{version}")
-        number = F.lit(self._current()[0] + 1).cast("bigint")
-        pointer = self._spark.range(1).select(F.lit(version).alias("version"), number.alias("number"))
-        pointer.coalesce(1).write.mode("append").parquet(f"{self._path}/current")
+        files, path = self._files(f"current/{base + 1:012d}")
+        files.mkdirs(path.getParent())
+        try:
+            stream = files.create(path, False)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            files.delete(self._files(version)[1], True)
+            raise StateConflict(f"Version {base + 1} of {self._path} was committed by another writer.") from error
+        stream.writeUTF(version)
+        stream.close()
+        self._seen = base + 1
+        for number, folder in self._commits().items():
+            if number <= self._seen - max(1, keep):
+                for name in filter(None, (folder, f"current/{number:012d}")):
+                    files.delete(self._files(name)[1], True)
+        return self._seen

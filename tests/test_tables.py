@@ -214,6 +214,33 @@ def test_state_table_replaces_whole_versions(spark, tmp_path):
     assert [tuple(r) for r in table.read().collect()] == [("a", 2)]
 
 
+def test_two_writers_do_not_lose_an_update(spark, tmp_path):
+    path = str(tmp_path / "state")
+    one, two = io.StateTable(spark, path), io.StateTable(spark, path)
+    start = spark.createDataFrame([("a", 1)], "plate string, n int")
+    assert one.replace(start) == 1
+    mine, theirs = one.read(), two.read()
+    assert one.replace(mine.withColumn("n", F.col("n") + 1)) == 2
+    with pytest.raises(io.StateConflict):
+        two.replace(theirs.withColumn("n", F.col("n") + 10))
+    assert two.replace(two.read().withColumn("n", F.col("n") + 10)) == 3
+    assert [tuple(r) for r in one.read().collect()] == [("a", 12)]
+    (tmp_path / "state" / "current" / f"{4:012d}").write_bytes(b"")  # a writer that ended between its two steps
+    assert [tuple(r) for r in one.read().collect()] == [("a", 12)]
+    assert one.replace(one.read().withColumn("n", F.col("n") * 2), keep=1) == 5
+    assert [tuple(r) for r in two.read().collect()] == [("a", 24)]
+    assert len(list((tmp_path / "state").glob("version=*"))) == 1
+
+
+def test_schedule_of_repeated_plates_shows_the_last_row(spark):
+    df = testdata.portfolio(spark, SF_SMALL).limit(30)
+    twice = df.unionByName(df.withColumn("Make", F.lit("Later")).withColumn("c_custkey", F.col("c_custkey") + 10**6))
+    from fleetrisk.operators import pricing
+    shown = pricing.premium_schedule(twice, order=["c_custkey"])
+    assert shown.count() == 60 and {r["Make"] for r in shown.collect()} == {"Later"}
+    assert {r["Make"] for r in pricing.premium_schedule(twice, unique_plates=True).collect()} != {"Later"}
+
+
 def test_failed_reads_are_errors(spark, tmp_path):
     (tmp_path / "current").mkdir()
     (tmp_path / "current" / "part-0.parquet").write_text("no parquet file")
