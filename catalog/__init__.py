@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from catalog import aggregates, analytics, registry, scalars, streams  # noqa: F401
+    from catalog import aggregates, analytics, registry, scalars, sources, streams  # noqa: F401
 
     return registry
 

@@ -359,7 +359,7 @@ def _(v):
 
 
 _BASE = S.case_map("Type", K.BASE_PREMIUM, 600.0)
-_QUOTE = f"""SELECT Plate, Risk_Band, PPO_Action, {r('monthly', 'Risk_Based_Monthly_Premium_USD', 2)},
+QUOTE_SQL = f"""SELECT Plate, Risk_Band, PPO_Action, {r('monthly', 'Risk_Based_Monthly_Premium_USD', 2)},
   {r('daily', 'Risk_Based_Daily_Premium_USD', 2)}, {r('monthly * m', 'Policy_Adjusted_Monthly_Premium_USD', 2)},
   {r('daily * m', 'Policy_Adjusted_Daily_Premium_USD', 2)},
   {r('Base_Price_USD * (0.01e0 + s * 0.44e0) * 0.10e0 / 12e0', 'Expected_Claim_USD', 2)},
@@ -371,7 +371,7 @@ _QUOTE = f"""SELECT Plate, Risk_Band, PPO_Action, {r('monthly', 'Risk_Based_Mont
   SELECT x.*, {S.band('s')} AS Risk_Band FROM (SELECT y.*, {_P1} AS s FROM prepared y) x) p) q)"""
 
 
-@query("P9_quote", _QUOTE)
+@query("P9_quote", QUOTE_SQL)
 def _(v):
     return pricing.quote(v.prepared, AS_OF).select(
         "Plate", "Risk_Band", "PPO_Action", "Risk_Based_Monthly_Premium_USD", "Risk_Based_Daily_Premium_USD",

@@ -10,7 +10,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from fleetrisk.functions.runtime import settle
 
 UNSUPPORTED = "Unsupported upload format. Use CSV or Parquet."
 
@@ -21,6 +23,22 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
+def read_csv_checked(spark: SparkSession, path: str, schema: StructType | str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The typed rows of a CSV file, and the lines that do not fit the schema (column ``line``).
+
+    A line with too few, too many or mistyped cells is rejected as it stands; every line is in
+    exactly one of the two tables. The file is read once; both tables read the settled result.
+    """
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    mark = "_rejected"
+    while mark in fields.names:
+        mark = f"_{mark}"
+    whole = StructType([*fields.fields, StructField(mark, StringType())])
+    rows = settle(spark.read.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", mark)
+                  .schema(whole).csv(path), "csv")
+    return rows.where(F.col(mark).isNull()).drop(mark), rows.where(F.col(mark).isNotNull()).select(F.col(mark).alias("line"))
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Parquet table scan."""
     return spark.read.parquet(path)

@@ -331,3 +331,10 @@ def test_empty_cells_leave_the_ratios_empty(spark):
     rows = statistics.synthesize_targets(df)
     assert rows.where("event_id % 2 = 1 AND (RPM_per_Speed IS NOT NULL OR Load_per_RPM IS NOT NULL)").isEmpty()
     assert rows.where("event_id % 2 = 0 AND RPM_per_Speed IS NULL").isEmpty()
+
+
+def test_every_csv_line_is_read_or_rejected(spark, tmp_path):
+    (tmp_path / "book.csv").write_text("Plate,Speed,_rejected\nV1,1.5,x\nV2,fast,x\nV3,2\nV4,3,x,more\n,,\nV5,4,\n")
+    good, bad = io.read_csv_checked(spark, str(tmp_path / "book.csv"), "Plate string, Speed double, _rejected string")
+    assert {(r[0], r[1]) for r in good.collect()} == {("V1", 1.5), (None, None), ("V5", 4.0)} and good.columns == ["Plate", "Speed", "_rejected"]
+    assert {r["line"] for r in bad.collect()} == {"V2,fast,x", "V3,2", "V4,3,x,more"}
