@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import timedelta
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -9,7 +12,7 @@ from catalog import sqltext as S
 from catalog.registry import AS_OF, query, r, settled
 from fleetrisk import constants as K
 from fleetrisk.operators import fraud, modeling, ranks, rollups, statistics
-from fleetrisk.functions.runtime import settle
+from fleetrisk.functions.runtime import settle, shared_folder
 
 # --- fraud ------------------------------------------------------------------------
 _RULES = ("(Speed_kmh > 180 OR abs(coalesce(Acceleration_mps2, 0e0)) > 7 OR coalesce(Battery_V, 12.6e0) < 10.5e0 "
@@ -90,6 +93,26 @@ def _(v):
     return fraud.assessed_vehicles(v.priced, AS_OF, _state(v)).select("Plate", "Candidate_Severity", "Severity")
 
 
+_ROUND = "CASE {} % 4 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' ELSE 'Critical' END"
+
+
+@query("A9_state_rounds", f"""WITH c AS (SELECT Plate AS plate, c_custkey % 5 <> 0 AS seen, {_ROUND.format('(c_custkey * 7 // 3)')} AS one, {_ROUND.format('c_custkey')} AS two,
+    c_custkey % 100 / 1e2 AS score_1, c_custkey % 77 / 1e2 AS score_2 FROM portfolio),
+  h AS (SELECT c.*, NOT seen OR one IN ('Critical', 'High') AS held FROM c)
+  SELECT plate, CASE WHEN held THEN one ELSE two END AS severity, CASE WHEN held THEN TIMESTAMP '2024-02-01 00:00:00' ELSE TIMESTAMP '2024-02-02 06:00:00' END AS last_updated,
+  {r('CASE WHEN held THEN score_1 ELSE score_2 END', 'composite_score')} FROM h""")
+def _(v):
+    """State, report, next state: a round, and 30 hours later a round over four fifths of the vehicles."""
+    from fleetrisk.sources.io import StateTable
+    table = StateTable(v.spark, f"{shared_folder(v.spark)}/severity-{uuid.uuid4().hex}")
+    level = lambda number: F.expr(_ROUND.format(number))
+    first = v.portfolio.select("Plate", level("floor(c_custkey * 7 / 3)").alias("Candidate_Severity"), (F.col("c_custkey") % 100 / 100).alias("Composite_Score"))
+    later = v.portfolio.where("c_custkey % 5 <> 0").select("Plate", level("c_custkey").alias("Candidate_Severity"), (F.col("c_custkey") % 77 / 100).alias("Composite_Score"))
+    fraud.commit_severities(first, AS_OF, table)
+    fraud.commit_severities(later, AS_OF + timedelta(hours=30), table)
+    return table.read()
+
+
 _LAYERS = ("CASE WHEN layers = '' THEN 'None' ELSE layers END AS Detection_Layers_Triggered")
 _LABELS = f"""SELECT s.*, {S.case_map('Severity', K.SEVERITY_COLOUR, 'Green')} AS Colour, {S.case_map('Severity', K.SEVERITY_FRAUD_TYPE, '')} AS Fraud_Types_Included,
   {S.case_map('Severity', K.SEVERITY_ACTION, '')} AS Action, concat_ws(',', CASE WHEN Rule_Violation_Flag THEN 'Rule' END, CASE WHEN Is_Anomaly THEN 'Anomaly' END,

@@ -237,6 +237,18 @@ def next_state(result: DataFrame, state: DataFrame | None = None) -> DataFrame:
     return fresh.unionByName(unseen)
 
 
+def commit_severities(df: DataFrame, as_of: datetime, table) -> DataFrame:
+    """A9 with its state table (``sources.io.StateTable``): the severities of a round, after their state is committed.
+
+    The round reads the current state, and commits the next one in its place; if another round
+    did so in the meantime, the table raises a conflict and nothing is changed.
+    """
+    state = table.read()
+    result = settle(sticky_severity(df, as_of, state), "severities")
+    table.replace(next_state(result, state))
+    return result
+
+
 def label_severity(df: DataFrame, as_of: datetime) -> DataFrame:
     """A10: colour, fraud type, action, time, and the list of triggered layers."""
     level = F.col("Severity")
