@@ -42,18 +42,20 @@ from pyspark.sql import functions as F
 
 from fleetrisk.functions.runtime import settle
 from fleetrisk.llm.bitmaps import Counts, bitmap, held_in
-from fleetrisk.llm.textbatch import mix, pieces, span_hashes, utf8
+from fleetrisk.llm.textbatch import BYTE_VALUE, INVERSE, MULTIPLIER, mix, pieces, powers, span_hashes, utf8
 
 LENGTH = 100
 GRAM = 48
 #: Bytes of contexts that go through the index together (one anchor's contexts at least).
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Classes of contexts from which an anchor's are cut by place.
 CROWDED = 2_000
 #: Places of the anchor in the string that one such part takes.
 PLACES = 14
 #: Anchors whose counts a task holds before it hands them out.
-HELD = 2_000_000
+HELD = 1_000_000
+#: Bytes of text, and contexts, that one step works on.
+PIECE, STEP = 1 << 20, 10_000
 
 _TAG = (1 << 16) - 1
 _LAST = (1 << 63) - 1
@@ -68,13 +70,12 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: in
     none = np.zeros(0, np.int64)
     if n < length:
         return none.astype(np.uint64), none, none, none, none
-    h = span_hashes(data, np.arange(n - gram + 1), np.arange(gram, n + 1))
-    at, span, width = np.arange(len(h), dtype=np.int32), 1, length - gram + 1
-    while span < width:
-        step = min(span, width - span)
-        left, right = at[:len(at) - step], at[step:]
-        at = np.where(h[left] <= h[right], left, right)
-        span += step
+    h = _gram_hashes(data, gram)
+    lowest = _window(np.minimum, h, length - gram + 1)
+    # A place can be an anchor if some string around it has no lower hash.
+    edge = np.zeros(length - gram, np.uint64)
+    places = np.flatnonzero(_window(np.maximum, np.concatenate([edge, lowest, edge]), length - gram + 1) == h)
+    at = _leftmost(h, lowest, places)
     begin = np.arange(len(at))
     row = np.searchsorted(starts, begin, "right") - 1
     whole = begin + length <= starts[row + 1]
@@ -83,7 +84,37 @@ def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: in
     new[1:] = (at[1:] != at[:-1]) | (row[1:] != row[:-1])
     first = np.flatnonzero(new)
     return (h[at[first]], row[first], begin[first] - starts[row[first]], np.diff(np.append(first, len(at))),
-            at[first].astype(np.int64) - begin[first])
+            at[first] - begin[first])
+
+
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """Hashes of all pieces of ``gram`` bytes."""
+    n = len(data)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(BYTE_VALUE[data] * powers(MULTIPLIER, n), out=total[1:])
+    return mix((total[gram:] - total[:n - gram + 1]) * powers(INVERSE, n + 1)[:n - gram + 1] + np.uint64(gram))
+
+
+def _window(best, values: np.ndarray, width: int) -> np.ndarray:
+    """The least (or greatest) of every ``width`` values in a row."""
+    span = 1
+    while span < width:
+        step = min(span, width - span)
+        values = best(values[:-step], values[step:])
+        span += step
+    return values
+
+
+def _leftmost(h: np.ndarray, lowest: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """For every window its first place with the window's lowest value."""
+    seen = np.zeros(len(h) + 1, np.int32)
+    seen[places + 1] = 1
+    next_place = np.cumsum(seen, dtype=np.int32)[:len(lowest)]  # the first of the places not before the window
+    live = np.flatnonzero(h[places[next_place]] != lowest)
+    while len(live):
+        next_place[live] += 1
+        live = live[h[places[next_place[live]]] != lowest[live]]
+    return places[next_place]
 
 
 class RunIndex:
@@ -115,17 +146,18 @@ class RunIndex:
             key = (key << np.uint64(8 * size)) | np.where(left > size - 1, later, 0)
             size *= 2
         _, rank = self._ranks(key)
-        order, rank = self._ranks(part * np.int64(n + 1) + rank)
+        _, rank = self._ranks(part * np.int64(n + 1) + rank)
         while size < int(sizes.max()) + 1:
             later = np.zeros(n, np.int64)
             later[:-size] = rank[size:] + 1
-            order, rank = self._ranks(rank * np.int64(n + 1) + np.where(left > size - 1, later, 0))
+            _, rank = self._ranks(rank * np.int64(n + 1) + np.where(left > size - 1, later, 0))
             size *= 2
+        order = np.argsort(rank * np.int64(n) + np.arange(n))
         self._runs(order)
 
     @staticmethod
     def _ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.ones(len(key), np.int64)
         new[1:] = key[order[1:]] != key[order[:-1]]
         new[0] = 0
@@ -145,7 +177,9 @@ class RunIndex:
         target[by_head] = np.concatenate([[0], np.cumsum(size[by_head])[:-1]])
         self.step = target - self.run_start
         self.first_at, self.last_at = order[self.run_start], order[self.run_start + size - 1]
-        self.by_head, self.heads = by_head, self.head[by_head]
+        self.by_head, self.heads, self.size = by_head, self.head[by_head], size
+        # Runs of one byte stand in row order within by_head.
+        self.key = self.heads * (len(size) + 1) + by_head
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
         """How many bytes the suffixes at a and b share, ``most`` at most."""
@@ -198,9 +232,7 @@ class RunIndex:
         lanes, c, off, low, high = lanes[have], c[have], off[have], low[have], high[have]
         if not len(lanes):
             return
-        # Runs of one byte stand in row order within by_head.
-        key = self.heads * (len(self.run_start) + 1) + self.by_head
-        nxt = np.searchsorted(key, c * (len(self.run_start) + 1) + run[off])
+        nxt = np.searchsorted(self.key, c * (len(self.run_start) + 1) + run[off])
         best = np.full(len(lanes), -1, np.int64)
         r, at = np.zeros(len(lanes), np.int64), np.zeros(len(lanes), np.int64)
         at_end = np.zeros(len(lanes), bool)
@@ -212,8 +244,7 @@ class RunIndex:
             best = np.where(better, common, best)
             r, at = np.where(better, candidate, r), np.where(better, samples[candidate], at)
             at_end = np.where(better, end, at_end)
-        sizes = np.append(self.run_start[1:], len(self.code)) - self.run_start
-        row[lanes] = self.run_start[r] + np.where(at_end, sizes[r] - 1, 0)
+        row[lanes] = self.run_start[r] + np.where(at_end, self.size[r] - 1, 0)
         place[lanes], match[lanes] = at, best
         run[off] = r
 
@@ -264,7 +295,7 @@ def _anchor_counts(skip: np.ndarray | None, limit: int):
         counts = Counts(limit)
         for batch in batches:
             wanted = _wanted(batch, skip)
-            for piece in pieces(batch.column("text")):
+            for piece in pieces(batch.column("text"), PIECE):
                 value, row, *_ = anchors(piece.data, piece.starts)
                 counts.add(value[wanted[row + piece.first]])
                 if counts.full():
@@ -295,12 +326,12 @@ def _contexts(often: np.ndarray, skip: np.ndarray | None):
         for batch in batches:
             wanted = _wanted(batch, skip)
             ids, f1, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "f1", "tag"))
-            for piece in pieces(batch.column("text")):
+            for piece in pieces(batch.column("text"), PIECE):
                 value, row, begin, count, offset = anchors(piece.data, piece.starts)
                 some = np.flatnonzero(wanted[row + piece.first])
                 some = some[held_in([often], value[some])]
-                for k in range(0, len(some), 50_000):
-                    at = some[k:k + 50_000]
+                for k in range(0, len(some), STEP):
+                    at = some[k:k + STEP]
                     start = piece.starts[row[at]] + begin[at]
                     end = start + count[at] - 1 + LENGTH
                     mine = row[at] + piece.first
