@@ -13,7 +13,7 @@ only.
 
 Of all keys only those move that can meet: a bitmap of the index keys goes to the texts again,
 and a probe is sent only where it may meet another line's key; a bitmap of these probes then
-decides which index entries are sent. (A bitmap lets a few more through, never less.) Next, a
+decides which index entries go on. (A bitmap lets a few more through, never less.) Next, a
 bitmap of hashed 3-grams (an edit flips six bits at most) drops pairs that are surely further
 apart, inside the task, so a segment that many lines share does not send all its pairs on. Only
 the texts of lines that are left in pairs are read out. Lines are known by 64-bit hashes.
@@ -89,7 +89,7 @@ def segments(length: np.ndarray, edits: int = EDITS) -> list[tuple[np.ndarray, n
     return out
 
 
-def keys(lines: Lines, chosen: np.ndarray, edits: int = EDITS) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+def keys(lines: Lines, chosen: np.ndarray, edits: int = EDITS, probes: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """(key, which of ``chosen``, kind): kind 0 is an index entry, 1 a probe."""
     begin, size = lines.begin[chosen], lines.end[chosen] - lines.begin[chosen]
     every = np.arange(len(chosen))
@@ -100,6 +100,8 @@ def keys(lines: Lines, chosen: np.ndarray, edits: int = EDITS) -> Iterator[tuple
             if shorter == 0:
                 start = begin + at
                 yield lines.hashes(start, start + width) ^ label, every, 0
+            if not probes:
+                continue
             # Places that edits to the left and to the right of the segment leave possible.
             low = np.maximum(np.maximum(0, at - i), at + shorter - (edits - i))
             high = np.minimum(np.minimum(size - width, at + i), at + shorter + (edits - i))
@@ -120,16 +122,21 @@ def _chosen(piece) -> tuple[Lines, np.ndarray, np.ndarray]:
     return lines, chosen, own[chosen].view(np.int64)
 
 
-def _index_keys(known: np.ndarray | None):
-    """(key, kind 0, line) of the lines' own segments, as far as the key is in the bitmap."""
+def _index_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, kind 0, line) of the lines' own segments."""
+    for batch in batches:
+        for piece in pieces(batch.column("text"), 1 << 20):
+            lines, chosen, ids = _chosen(piece)
+            for key, which, kind in keys(lines, chosen, probes=False):
+                yield _entries(key, kind, ids[which])
+
+
+def _known_keys(known: np.ndarray):
+    """The entries whose key is in the bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch.column("text"), 1 << 20):
-                lines, chosen, ids = _chosen(piece)
-                for key, which, kind in keys(lines, chosen):
-                    if kind == 0:
-                        some = slice(None) if known is None else held_in([known], key)
-                        yield _entries(key[some], 0, ids[which[some]])
+            key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(held_in([known], key)))
     return run
 
 
@@ -170,9 +177,11 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = lines.hashes(lines.begin, lines.end).view(np.int64)
             grams = lines.values[:-2] * np.uint64(3) + lines.values[1:-1] * np.uint64(5) + lines.values[2:] * np.uint64(7)
             bit = (mix(grams) & np.uint64(127)).astype(np.int64)
-            bits = np.zeros((len(own), 128), np.uint8)
-            for k, (b, e) in enumerate(zip(lines.begin, lines.end)):
-                bits[k] = np.bincount(bit[b:max(b, e - 2)], minlength=128) & 1
+            size = np.maximum(lines.end - lines.begin - 2, 0)
+            cut = np.concatenate([[0], np.cumsum(size)])
+            at = np.repeat(lines.begin - cut[:-1], size) + np.arange(cut[-1])
+            ones = np.bincount(np.repeat(np.arange(len(own)) * 128, size) + bit[at], minlength=128 * len(own)) & 1
+            bits = ones.astype(np.uint8).reshape(len(own), 128)
             bits = np.packbits(bits, axis=1).view(np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[piece.first + lines.row]), pa.array(texts[piece.first + lines.row]), pa.array(lines.number), pa.array(own),
@@ -278,12 +287,13 @@ def _line_texts(wanted: np.ndarray):
 def near_lines(texts: DataFrame, occurrences: DataFrame) -> DataFrame:
     """(x, y): different line texts within ``EDITS`` edits, each pair once or twice."""
     text, entry = texts.select("text"), "key bigint, kind bigint, line bigint"
-    own = text.mapInArrow(_index_keys(None), entry).groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"))
+    entries = settle(text.mapInArrow(_index_keys, entry), "entries")
+    own = entries.groupBy("key").agg(F.min("line").alias("low"), F.max("line").alias("high"))
     own = settle(own.select("key", (F.col("low") < F.col("high")).alias("shared")), "segments")
     index, shared = bitmap(own.select("key")), bitmap(own.where("shared").select("key"))
     probes = settle(text.mapInArrow(_probe_keys(index, shared), entry).distinct(), "probes")
     asked = bitmap(probes.select("key").distinct())
-    keyed = text.mapInArrow(_index_keys(asked), entry).distinct().union(probes)
+    keyed = entries.mapInArrow(_known_keys(asked), entry).distinct().union(probes)
     keyed = keyed.repartition("key").sortWithinPartitions("key", "kind", "line")
     met = settle(keyed.mapInArrow(_met, entry), "met")
     looks = occurrences.join(met.select("line").distinct(), "line", "left_semi").groupBy("line").agg(
