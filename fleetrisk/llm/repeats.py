@@ -37,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +55,13 @@ CROWDED = 2_000
 PLACES = 14
 #: Anchors whose counts a task holds before it hands them out.
 HELD = 1_000_000
-#: Bytes of text, and contexts, that one step works on.
-PIECE, STEP = 1 << 20, 10_000
+#: Bytes of text (arrays over so many stay in a core's cache), and contexts, that one step works on.
+PIECE, STEP = 1 << 16, 10_000
 
 _TAG = (1 << 16) - 1
 _LAST = (1 << 63) - 1
+#: The least value that fills so many bytes, from one to eight.
+_BYTES = np.uint64(1) << np.arange(0, 64, 8, dtype=np.uint64)
 
 
 def anchors(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int = GRAM):
@@ -145,6 +148,7 @@ class RunIndex:
             later[:-size] = key[size:]
             key = (key << np.uint64(8 * size)) | np.where(left > size - 1, later, 0)
             size *= 2
+        self.eight, self.part = key, part  # the eight bytes from each place on, zeros behind the string's end
         _, rank = self._ranks(key)
         _, rank = self._ranks(part * np.int64(n + 1) + rank)
         while size < int(sizes.max()) + 1:
@@ -182,18 +186,19 @@ class RunIndex:
         self.key = self.heads * (len(size) + 1) + by_head
 
     def _common(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """How many bytes the suffixes at a and b share, ``most`` at most."""
-        out = np.zeros(len(a), np.int64)
-        live = np.arange(len(a))
-        for k in range(int(most.max()) if len(most) else 0):
-            live = live[(most[live] > k)]
-            x, y = a[live] + k, b[live] + k
-            ok = (self.left[a[live]] > k) & (self.left[b[live]] > k)
-            ok[ok] = self.code[x[ok]] == self.code[y[ok]]
-            live = live[ok]
-            if not len(live):
+        """How many bytes the suffixes at a and b share, ``most`` at most; eight bytes are compared at a time."""
+        most = np.where(self.part[a] == self.part[b], np.minimum(most, np.minimum(self.left[a], self.left[b])), 0)
+        out = most.copy()
+        live = np.flatnonzero(most > 0)
+        a, b, most = a[live], b[live], most[live]
+        for k in range(0, int(most.max()) if len(live) else 0, 8):
+            differ = self.eight[a + k] ^ self.eight[b + k]
+            end = np.flatnonzero(differ)
+            out[live[end]] = np.minimum(k + 8 - np.searchsorted(_BYTES, differ[end], "right"), most[end])
+            on = np.flatnonzero((differ == 0) & (most > k + 8))
+            if not len(on):
                 break
-            out[live] = k + 1
+            live, a, b, most = live[on], a[on], b[on], most[on]
         return out
 
     def matching_statistics(self, data: np.ndarray, starts: np.ndarray, parts: np.ndarray) -> np.ndarray:
@@ -322,7 +327,7 @@ _CONTEXT_TYPE = "key bigint, id bigint, f1 bigint, place bigint, offset bigint,
 
 def _contexts(often: np.ndarray, skip: np.ndarray | None):
     """The contexts of anchors that may occur twice. ``place`` packs start, number of strings and the text's tag."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = _wanted(batch, skip)
             ids, f1, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "f1", "tag"))
@@ -340,9 +345,24 @@ def _contexts(often: np.ndarray, skip: np.ndarray | None):
                         [pa.array(value[at].view(np.int64)), pa.array(ids[mine]), pa.array(f1[mine]),
                          pa.array((begin[at] << 23) | (count[at] << 16) | tag[mine]), pa.array(offset[at]),
                          pa.array(c.view(np.int64)), _binary(piece.data, start, end)], names=_CONTEXT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _gathered(cut(batches))
     return run
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of STEP rows or a little more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= STEP:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     low = int(begin.min())
     return span_hashes(data[low:int(end.max())], begin - low, end - low)
@@ -444,25 +464,44 @@ def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # ---------------------------------------------------------------- the operator
 
+def _runs_of(batch: pa.RecordBatch, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of the maximal removed runs, as places in the batch's bytes and in their order."""
+    none = np.zeros(0, np.int64)
+    if "marks" not in batch.schema.names:
+        return none, none, none
+    lists = batch.column("marks")
+    row, marks = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False), lists.flatten()
+    begin, end = (pc.struct_field(marks, name).to_numpy(zero_copy_only=False) for name in ("begin", "end"))
+    if not len(row):
+        return none, none, none
+    whole = begin < 0
+    begin, end = at[row] + np.where(whole, 0, begin), np.where(whole, at[row + 1], at[row] + end)
+    order = np.lexsort((begin, row))
+    row, begin, end = row[order], begin[order], np.maximum.accumulate(end[order])
+    new = np.append(True, (begin[1:] > end[:-1]) | (row[1:] != row[:-1]))
+    first = np.flatnonzero(new)
+    return row[first], begin[first], end[np.append(first[1:], len(row)) - 1]
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The digest of what is left of every text."""
     for batch in batches:
         raw, at = utf8(batch.column("text"))
-        removed, spans, sha = [], [], []
-        lists = batch.column("marks").to_pylist() if "marks" in batch.schema.names else [None] * batch.num_rows
-        for k, marks in enumerate(lists):
-            text = raw[at[k]:at[k + 1]]
-            gone = np.zeros(len(text) + 1, np.int64)
-            for mark in marks or ():
-                begin, end = (0, len(text)) if mark["begin"] < 0 else (mark["begin"], mark["end"])
-                gone[begin] += 1
-                gone[end] -= 1
-            inside = np.cumsum(gone[:-1]) > 0
-            removed.append(int(inside.sum()))
-            spans.append(int(inside[:1].sum() + (inside[1:] & ~inside[:-1]).sum()))
-            sha.append(hashlib.sha256(text[~inside].tobytes()).hexdigest())
+        row, begin, end = _runs_of(batch, at)
+        rows = batch.num_rows
+        removed, spans = np.zeros(rows, np.int64), np.bincount(row, minlength=rows)
+        np.add.at(removed, row, end - begin)
+        of = np.searchsorted(row, np.arange(rows + 1)).tolist()
+        begins, ends, bounds, sha = begin.tolist(), end.tolist(), at.tolist(), []
+        for k in range(rows):
+            left, digest = bounds[k], hashlib.sha256()
+            for run in range(of[k], of[k + 1]):
+                digest.update(raw[left:begins[run]])
+                left = ends[run]
+            digest.update(raw[left:bounds[k + 1]])
+            sha.append(digest.hexdigest())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(np.diff(at)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()),
+            [batch.column("doc_id"), pa.array(np.diff(at)), pa.array(removed), pa.array(spans.astype(np.int64)),
              pa.array(sha, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 

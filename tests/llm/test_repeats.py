@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fleetrisk.llm import repeats
@@ -94,3 +97,38 @@ def test_repeated_rows_are_judged_alike(spark):
     got = Counter((r.doc_id, r.n_removed) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
     n = len(text)
     assert got == Counter([(7, 0), (7, 0), (9, n), (None, n), (None, n), (9, 0)])
+
+
+def test_shared_bytes_of_suffixes_equal_a_plain_loop():
+    rng = np.random.default_rng(5)
+    strings = [bytes(rng.integers(0, 2, size).astype(np.uint8)) * 3 for size in (1, 7, 8, 9, 30, 30, 55)] + [b"", b"ab" * 40, b"ab" * 33]
+    starts = np.cumsum([0] + [len(x) for x in strings])
+    parts = np.array([0, 0, 0, 1, 1, 1, 2, 2, 2, 2])
+    index = repeats.RunIndex(np.frombuffer(b"".join(strings), np.uint8), starts, parts)
+    suffixes = [(part, x[k:]) for part, x in zip(parts, strings) for k in range(len(x) + 1)]
+    a, b = rng.integers(0, len(suffixes), (2, 4_000))
+    most = rng.integers(0, 70, 4_000)
+    wanted = []
+    for x, y, limit in zip(a, b, most):
+        (p, s), (q, t) = suffixes[x], suffixes[y]
+        same = next((k for k, (c, d) in enumerate(zip(s, t)) if c != d), min(len(s), len(t))) if p == q else 0
+        wanted.append(min(same, limit))
+    assert index._common(a, b, most).tolist() == wanted
+
+
+def test_the_digest_takes_no_arrays_of_the_size_of_a_text():
+    text = "".join(map(str, range(600_000)))
+    marks = [{"begin": 10, "end": 300}, {"begin": 200, "end": 400}, {"begin": 400, "end": 450}, {"begin": 900, "end": 1_000_000}]
+    rows = [(1, text, marks), (2, text[:200], [{"begin": -1, "end": -1}, {"begin": 3, "end": 103}]), (3, "", None), (4, text[:300], [])]
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], kind)],
+                                       names=["doc_id", "text", "marks"])
+    tracemalloc.start()
+    out = [x for b in repeats._cut(iter([batch])) for x in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(x["n_bytes"], x["n_removed"], x["n_spans"]) for x in out] == [
+        (len(text), 440 + 999_100, 2), (200, 200, 1), (0, 0, 0), (300, 0, 0)]
+    kept = [text[:10] + text[450:900] + text[1_000_000:], "", "", text[:300]]
+    assert [x["kept_sha256"] for x in out] == [hashlib.sha256(k.encode()).hexdigest() for k in kept]
+    assert peak < 10e6  # with a counter for every byte it was over 50 MB
