@@ -53,18 +53,23 @@ class Counts:
     def add(self, keys: np.ndarray) -> None:
         self.new.append(keys)
         self.rows += len(keys)
-        if self.rows > max(self.limit // 2, len(self.keys)):
+        if self.rows > self.limit // 4:
             self.settle()
 
     def settle(self) -> None:
-        keys, counts = np.unique(np.concatenate(self.new), return_counts=True) if self.new else (self.keys[:0], self.counts[:0])
+        """Known keys are counted where they stand, so little more than the table itself is held."""
+        if not self.new:
+            return
+        keys = np.concatenate(self.new)
         self.new, self.rows = [], 0
-        both = np.concatenate([self.keys, keys])
-        order = np.argsort(both, kind="stable")
-        both = both[order]
-        first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else order
-        self.keys = both[first]
-        self.counts = np.add.reduceat(np.concatenate([self.counts, counts])[order], first) if len(both) else counts
+        keys, counts = np.unique(keys, return_counts=True)
+        place = np.searchsorted(self.keys, keys)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == keys[known]
+        self.counts[place[known]] += counts[known]
+        if not known.all():
+            place, keys, counts = place[~known], keys[~known], counts[~known]
+            self.keys, self.counts = np.insert(self.keys, place, keys), np.insert(self.counts, place, counts)
 
     def full(self) -> bool:
         return len(self.keys) >= self.limit

@@ -47,8 +47,8 @@ ABSORBED = 50
 UNKNOWN = "und"
 #: One in so many documents is in the sample.
 SAMPLE = 4
-#: Phrases whose counts a task holds before it hands them out.
-HELD = 2_000_000
+#: Phrases whose counts a task holds before it hands them out, and bytes of text that it works on at once.
+HELD, STEP_BYTES = 2_000_000, 1 << 18
 
 CUTS = np.zeros(256, bool)
 CUTS[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -67,7 +67,7 @@ class Grams:
     ``whole[m][k]`` tells whether these words stand in one piece of one text.
     """
 
-    def __init__(self, piece: Piece, language: np.ndarray):
+    def __init__(self, piece: Piece, language: np.ndarray, longest: int = WORDS):
         w = self.words = piece.words(INSIDE, lower=True)
         count = len(w.begin)
         row = np.repeat(np.arange(len(piece)), np.diff(w.of))
@@ -79,7 +79,7 @@ class Grams:
             next_too[:-1] = (cuts[w.begin[1:]] == cuts[w.end[:-1]]) & (row[1:] == row[:-1])
         self.keys, self.whole = [None], [None]
         value, whole = hashes, np.ones(count, bool)
-        for m in range(1, WORDS + 1):
+        for m in range(1, longest + 1):
             if m > 1:
                 starts = max(0, count - m + 1)
                 longer, whole = np.zeros(count, np.uint64), np.zeros(count, bool)
@@ -101,7 +101,7 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[Piece, np.ndarray, list[str
     """Pieces of the batch, each row's language by number, and the names of the languages."""
     coded = batch.column("lang").dictionary_encode()
     numbers, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
-    for piece in pieces(batch.column("text")):
+    for piece in pieces(batch.column("text"), STEP_BYTES):
         yield piece, numbers[piece.first:piece.first + len(piece)], names
 
 
@@ -117,11 +117,13 @@ def _outside(bitmaps: list[np.ndarray]):
 
 def _counting(choose, limit: int):
     """Counts, by key, what ``choose(grams)`` picks from each piece."""
+    longest = 2 if choose is _words_and_pairs else WORDS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(limit)
         for batch in batches:
             for piece, numbers, names in _pieces(batch):
-                for keys in choose(Grams(piece, _hash_of(names)[numbers])):
+                for keys in choose(Grams(piece, _hash_of(names)[numbers], longest)):
                     counts.add(keys)
                     if counts.full():
                         yield from counts.take()
@@ -130,8 +132,11 @@ def _counting(choose, limit: int):
 
 
 def _count(texts: DataFrame, choose, least: int, limit: int, name: str) -> DataFrame:
-    """(key, n) of the chosen phrases with ``least`` or more occurrences."""
-    rows = texts.mapInArrow(_counting(choose, limit), "key bigint, n bigint")
+    """(key, n) of the chosen phrases with ``least`` or more occurrences.
+
+    The tasks have added up already, so the rows are dealt first and added up only once more.
+    """
+    rows = texts.mapInArrow(_counting(choose, limit), "key bigint, n bigint").repartition("key")
     return settle(rows.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least), name)
 
 
@@ -207,24 +212,32 @@ class Spelled:
         self.texts: list[pa.Array] = []
         self.rows = 0
 
-    def add(self, grams: Grams, starts: np.ndarray, m: int, language: np.ndarray) -> None:
-        keys, first, counts = np.unique(grams.keys[m][starts], return_index=True, return_counts=True)
-        place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        known = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+    def add(self, grams: Grams, starts: list[np.ndarray], language: np.ndarray) -> None:
+        """Counts phrases that start at some words; ``starts[m - 1]`` are those of m words."""
+        keys = np.concatenate([grams.keys[m][at] for m, at in enumerate(starts, 1)])
+        keys, first, counts = np.unique(keys, return_index=True, return_counts=True)
+        place = np.searchsorted(self.keys, keys)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == keys[known]
         self.counts[place[known]] += counts[known]
-        new = ~known
-        if not new.any():
+        new = np.flatnonzero(~known)
+        if not len(new):
             return
-        starts = starts[first[new]]
-        self.texts.append(_spelling(grams, starts, m))
-        self.langs.append(language[grams.row[starts]])
-        at = np.arange(self.rows, self.rows + len(starts))
-        self.rows += len(starts)
-        both = np.concatenate([self.keys, keys[new]])
-        order = np.argsort(both, kind="stable")
-        self.keys = both[order]
-        self.counts = np.concatenate([self.counts, counts[new]])[order]
-        self.at = np.concatenate([self.at, at])[order]
+        # One length of phrases after the other, as their texts are made together.
+        begin = np.concatenate(starts)[first[new]]
+        words = (keys[new] & _LEVEL).astype(np.int64)
+        order = np.argsort(words, kind="stable")
+        for m in range(1, WORDS + 1):
+            mine = begin[words == m]
+            if len(mine):
+                self.texts.append(_spelling(grams, mine, m))
+        self.langs.append(language[grams.row[begin[order]]])
+        at = np.empty(len(new), np.int64)
+        at[order] = np.arange(self.rows, self.rows + len(new))
+        self.rows += len(new)
+        place = place[new]
+        self.keys, self.counts = np.insert(self.keys, place, keys[new]), np.insert(self.counts, place, counts[new])
+        self.at = np.insert(self.at, place, at)
 
     def take(self, names: list[str]) -> Iterator[pa.RecordBatch]:
         if self.rows:
@@ -269,11 +282,8 @@ def _spell(bitmaps: list[np.ndarray], limit: int):
                 grams = Grams(piece, _hash_of(names)[numbers])
                 for lang, count in enumerate(np.bincount(language[grams.row], minlength=1).tolist()):
                     total[lang] += count
-                for m in range(1, WORDS + 1):
-                    starts = np.flatnonzero(grams.whole[m])
-                    starts = starts[held_in([bitmaps[m - 1]], grams.keys[m][starts])]
-                    if len(starts):
-                        spelled.add(grams, starts, m, language)
+                starts = [np.flatnonzero(grams.whole[m]) for m in range(1, WORDS + 1)]
+                spelled.add(grams, [at[held_in([bitmaps[m - 1]], grams.keys[m][at])] for m, at in enumerate(starts, 1)], language)
                 if spelled.rows >= limit:
                     yield from spelled.take(list(number))
         yield from spelled.take(list(number))
@@ -328,7 +338,7 @@ def collocations(documents: DataFrame, least: int = LEAST, top: int = TOP, limit
     keys = frequent_keys(texts, sample, least, limit)
     bitmaps = [bitmap(_level(keys, m)) for m in range(1, WORDS + 1)]
     counts = (texts.select("lang", "text").mapInArrow(_spell(bitmaps, limit // 2), "lang string, phrase string, words int, a bigint")
-              .groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")))
+              .repartition("lang", "phrase").groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a")))
     counts = settle(counts.where((F.col("a") >= least) | (F.col("words") == 0)), "phrases")
     candidates = _not_absorbed(settle(_scored(counts, least), "candidates"))
     order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +105,16 @@ def test_awkward_documents(spark):
     assert phrases.collocations(docs.limit(0)).count() == 0
     long = spark.createDataFrame([(1, "new York, of the " * 200_000, None)], "doc_id bigint, text string, lang string")
     assert Counter(map(tuple, phrases.collocations(long).collect())) == expected([("new York, of the " * 200_000, None)], 10)
+
+
+def test_a_counting_task_keeps_to_its_memory():
+    """6 MB of text in 2,000 rows, all of its words and pairs different."""
+    numbers = np.random.default_rng(3).permutation(800_000) + 1_000_000
+    texts = [" ".join(map(str, part)) for part in np.array_split(numbers, 2_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], names=["lang", "text"])
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in phrases._counting(phrases._words_and_pairs, phrases.HELD)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 800_000 + 800_000 - len(texts)
+    assert peak < 115e6  # it took 128 MB with pieces of 2 MB and a table sorted anew at every step
