@@ -57,6 +57,8 @@ PLACES = 14
 HELD = 1_000_000
 #: Bytes of text (arrays over so many stay in a core's cache), and contexts, that one step works on.
 PIECE, STEP = 1 << 16, 10_000
+#: Texts that are copied at once.
+ROWS = 1_000
 
 _TAG = (1 << 16) - 1
 _LAST = (1 << 63) - 1
@@ -517,7 +519,17 @@ def _only(known: np.ndarray, inside: bool):
     """The rows whose fingerprint may be (or, turned round, is certainly not) in the bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_wanted(batch, known) != inside))
+            chosen = _wanted(batch, known) != inside
+            for k in range(0, batch.num_rows, ROWS):
+                if chosen[k:k + ROWS].any():
+                    yield batch.slice(k, ROWS).filter(pa.array(chosen[k:k + ROWS]))
+    return run
+
+
+def _digests(marked: np.ndarray):
+    """The digests of the texts that certainly have no marks, in the task that reads them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _cut(_only(marked, False)(batches))
     return run
 
 
@@ -565,6 +577,6 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
     marked = bitmap(marks.select(F.col("f1").alias("key")).distinct())
     row = "doc_id bigint, id bigint, f1 bigint, tag bigint, text string"
     result = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    whole = texts.mapInArrow(_only(marked, False), row).select("doc_id", "text").mapInArrow(_cut, result)
+    whole = texts.select("doc_id", "f1", "text").mapInArrow(_digests(marked), result)
     rest = texts.mapInArrow(_only(marked, True), row).join(marks, ["id", "f1", "tag"], "left").select("doc_id", "text", "marks")
     return whole.union(rest.mapInArrow(_cut, result))

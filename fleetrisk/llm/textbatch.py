@@ -53,7 +53,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64, kept for the next call."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, PIECE_BYTES + 1)
+        size = 1 << max(16, (n - 1).bit_length()) if n <= 4 * PIECE_BYTES else n
         have = np.ones(size, np.uint64)
         have[1:] = np.uint64(base)
         have = np.multiply.accumulate(have)
