@@ -44,6 +44,23 @@ EDITS = 2
 LEAST = 24
 GRAM = 3
 _LAST = (1 << 63) - 1
+#: Bytes of text that one step works on.
+STEP = 1 << 18
+#: A random 64-bit value for every code point of two bytes.
+_POINT_VALUE = mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
+#: Bit of a bitmap of 128 bits, as two words.
+_BIT = np.uint64(1) << (np.arange(128, dtype=np.uint64) & np.uint64(63))
+_LOW, _HIGH = np.where(np.arange(128) < 64, _BIT, np.uint64(0)), np.where(np.arange(128) < 64, np.uint64(0), _BIT)
+
+
+def point_values(points: np.ndarray) -> np.ndarray:
+    """The values of any code points."""
+    if points.max(initial=0) < len(_POINT_VALUE):
+        return _POINT_VALUE[points]
+    out = _POINT_VALUE[np.minimum(points, len(_POINT_VALUE) - 1)]
+    far = np.flatnonzero(points >= len(_POINT_VALUE))
+    out[far] = mix(points[far].astype(np.uint64) + np.uint64(1))
+    return out
 
 
 class Lines:
@@ -55,22 +72,27 @@ class Lines:
         cut[piece.starts] = True
         cut[1:][data == 0x0A] = True
         begin = np.flatnonzero(cut[:-1])
-        end = np.append(begin[1:], len(data)) if len(begin) else begin
-        end = end - ((end > begin) & (data[np.maximum(end - 1, 0)] == 0x0A)) if len(begin) else end
+        stop = np.append(begin[1:], len(data)) if len(begin) else begin
+        end = stop - (data[stop - 1] == 0x0A)
         row = np.searchsorted(piece.starts, begin, "right") - 1
         first = np.searchsorted(row, np.arange(len(piece)))
         number = np.arange(len(begin)) - first[row] if len(begin) else begin
-        words = np.concatenate([[0], np.cumsum(NOT_SPACE[data])])
-        full = words[end] > words[begin] if len(begin) else np.zeros(0, bool)
+        # The line feed at a line's end is no word.
+        full = np.logical_or.reduceat(NOT_SPACE[data], begin) if len(begin) else np.zeros(0, bool)
         self.row, self.number = row[full], number[full]
         self.byte_begin, self.byte_end = begin[full], end[full]
-        leads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
-        self.begin, self.end = leads[self.byte_begin], leads[self.byte_end]
-        points = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        self.values = mix(points.astype(np.uint64) + np.uint64(1))
+        if not len(data) or data.max() < 0x80:  # a code point is a byte
+            self.begin, self.end = self.byte_begin, self.byte_end
+            self.values = _POINT_VALUE[data]
+        else:
+            size = np.add.reduceat((data & 0xC0) != 0x80, begin, dtype=np.int64)  # code points, with the line feed
+            after = np.cumsum(size)
+            self.begin, self.end = (after - size)[full], (after - (stop - end))[full]
+            self.values = point_values(np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32))
         n = len(self.values)
         self.total = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values * powers(MULTIPLIER, n), out=self.total[1:])
+        np.multiply(self.values, powers(MULTIPLIER, n), out=self.total[1:])
+        np.cumsum(self.total, out=self.total)
         self.inverse = powers(INVERSE, n + 1)
 
     def hashes(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -125,7 +147,7 @@ def _chosen(piece) -> tuple[Lines, np.ndarray, np.ndarray]:
 def _index_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, kind 0, line) of the lines' own segments."""
     for batch in batches:
-        for piece in pieces(batch.column("text"), 1 << 20):
+        for piece in pieces(batch.column("text"), STEP):
             lines, chosen, ids = _chosen(piece)
             for key, which, kind in keys(lines, chosen, probes=False):
                 yield _entries(key, kind, ids[which])
@@ -147,7 +169,7 @@ def _probe_keys(index: np.ndarray, shared: np.ndarray):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch.column("text"), 1 << 20):
+            for piece in pieces(batch.column("text"), STEP):
                 lines, chosen, ids = _chosen(piece)
                 own: list[np.ndarray] = []
                 for key, which, kind in keys(lines, chosen):
@@ -155,11 +177,12 @@ def _probe_keys(index: np.ndarray, shared: np.ndarray):
                         own.append(key)
                         continue
                     may = held_in([index], key)
+                    key, which = key[may], which[may]
                     mine = np.zeros(len(key), bool)
                     for segment in own:
                         mine |= key == segment[which]
-                    may &= ~mine | held_in([shared], key)
-                    yield _entries(key[may], 1, ids[which[may]])
+                    mine[mine] = ~held_in([shared], key[mine])
+                    yield _entries(key[~mine], 1, ids[which[~mine]])
     return run
 
 
@@ -168,24 +191,34 @@ def _entries(key: np.ndarray, kind: int, line: np.ndarray) -> pa.RecordBatch:
                                       names=["key", "kind", "line"])
 
 
+def gram_bits(lines: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """The 3-gram bitmap of every line, as two words: the parities of its grams' 128 bits."""
+    size = lines.end - lines.begin
+    low, high = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    some = np.flatnonzero(size >= GRAM)
+    if len(some):
+        value = (lines.values >> np.uint64(32)).astype(np.uint32)  # already scrambled
+        gram = value[:-2] * np.uint32(3) + value[1:-1] * np.uint32(5) + value[2:] * np.uint32(7)
+        bit = gram >> np.uint32(25)
+        # Every second range is a line's grams; the last one ends where the next line's or nothing begins.
+        ranges = np.stack([lines.begin[some], lines.end[some] - (GRAM - 1)], axis=1).ravel()
+        ranges = ranges[:-1] if ranges[-1] >= len(bit) else ranges
+        for words, out in ((_LOW, low), (_HIGH, high)):
+            out[some] = np.bitwise_xor.reduceat(words[bit], ranges)[::2].view(np.int64)
+    return low, high
+
+
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, name, number, line, size, g0, g1) of every line; g0 and g1 are the 3-gram bitmap."""
     for batch in batches:
         ids, texts = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "name"))
-        for piece in pieces(batch.column("text"), 1 << 20):
+        for piece in pieces(batch.column("text"), STEP):
             lines = Lines(piece)
             own = lines.hashes(lines.begin, lines.end).view(np.int64)
-            grams = lines.values[:-2] * np.uint64(3) + lines.values[1:-1] * np.uint64(5) + lines.values[2:] * np.uint64(7)
-            bit = (mix(grams) & np.uint64(127)).astype(np.int64)
-            size = np.maximum(lines.end - lines.begin - 2, 0)
-            cut = np.concatenate([[0], np.cumsum(size)])
-            at = np.repeat(lines.begin - cut[:-1], size) + np.arange(cut[-1])
-            ones = np.bincount(np.repeat(np.arange(len(own)) * 128, size) + bit[at], minlength=128 * len(own)) & 1
-            bits = ones.astype(np.uint8).reshape(len(own), 128)
-            bits = np.packbits(bits, axis=1).view(np.int64).reshape(-1, 2)
+            low, high = gram_bits(lines)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[piece.first + lines.row]), pa.array(texts[piece.first + lines.row]), pa.array(lines.number), pa.array(own),
-                 pa.array(lines.end - lines.begin), pa.array(bits[:, 0]), pa.array(bits[:, 1])],
+                 pa.array(lines.end - lines.begin), pa.array(low), pa.array(high)],
                 names=["id", "name", "number", "line", "size", "g0", "g1"])
 
 
@@ -276,7 +309,7 @@ def _line_texts(wanted: np.ndarray):
     """Hash and text of the lines whose hash is in the bitmap."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch.column("text"), 1 << 20):
+            for piece in pieces(batch.column("text"), STEP):
                 lines, chosen, ids = _chosen(piece)
                 some = held_in([wanted], ids.view(np.uint64))
                 text = [piece.data[lines.byte_begin[k]:lines.byte_end[k]].tobytes() for k in chosen[some]]

@@ -9,12 +9,14 @@ import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from fleetrisk.llm import (decontaminate, factorisation, jaccard, langid, licences, lines, mixing, quality, repeats,
                            sharding)
 from fleetrisk.llm.tables import reachable
+from fleetrisk.llm.textbatch import mix, pieces
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, shard int, id string, group string"
 rng = random.Random(5)
@@ -344,6 +346,24 @@ def test_lines(spark, docs, empty):
     assert lines.dedup_lines(empty).count() == 0
 
 
+def test_lines_and_their_gram_bits():
+    """Places, code points and 3-gram parities of lines of one to four bytes a character, against plain Python."""
+    texts = ["plain line\n\n \t\nx", None, "", "caf\u00e9 \u65e5\u672c\u8a9e\n\U0001f600\U0001f601 wide \U0001f600\uffff", "ab", "\n\u00e9", "end \n"]
+    for rows in (texts, ["only ascii\nab\nabc"], [None, ""], []):
+        for piece in pieces(pa.array(rows, pa.string())):
+            found = lines.Lines(piece)
+            low, high = (x.view("uint64").tolist() for x in lines.gram_bits(found))
+            own = [(r, k, line) for r, t in enumerate(rows) for k, line in enumerate((t or "").split("\n")) if line.strip(" \t")]
+            assert list(zip(found.row.tolist(), found.number.tolist())) == [(r, k) for r, k, _ in own]
+            for (_, _, line), begin, end, *words in zip(own, found.begin, found.end, low, high):
+                points = [mix(np.array([ord(c) + 1], np.uint64))[0] for c in line]
+                assert found.values[begin:end].tolist() == points
+                bits = 0
+                for a, b, c in zip(points, points[1:], points[2:]):
+                    bits ^= 1 << ((3 * (int(a) >> 32) + 5 * (int(b) >> 32) + 7 * (int(c) >> 32)) % (1 << 32) >> 25)
+                assert words == [bits % (1 << 64), bits >> 64]
+
+
 def test_lines_of_documents_without_an_id(spark):
     reachable(spark)
     head = "a header line that all of them share"
