@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from fleetrisk.functions.distributions import chi2_tail, kolmogorov_tail, normal_two_sided, t_two_sided
 from fleetrisk.operators import drivers, joins, modeling, ranks, rollups, scoring, statistics
+from fleetrisk.plans import training
 from fleetrisk.plans.portfolio import analyse_portfolio
 from fleetrisk.sources import io, testdata
 from tests.compare import connect, difference
@@ -290,6 +291,24 @@ def test_encoder_is_fitted_once_and_model_round_trips(spark, tmp_path):
     assert importance[0]["feature"] == "score" and importance[0]["importance"] > 0.1
 
 
+def test_training_rows_of_one_task_are_spread(spark, monkeypatch):
+    """The booster's many passes share the rows among tasks, also where one task read the whole history."""
+    class Seen(Exception):
+        pass
+
+    def fit(train, **options):
+        raise Seen([n for n in train.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect() if n])
+
+    monkeypatch.setattr(training, "FILE_ROWS", 100, raising=False)
+    monkeypatch.setattr(modeling, "fit_risk_model", fit)
+    history = testdata.history(spark, SF_SMALL).coalesce(1)
+    with pytest.raises(Seen) as seen:
+        training.train(history, rounds=2)
+    sizes = seen.value.args[0]
+    assert len(sizes) >= 4 and max(sizes) <= 200
+    assert sum(sizes) == pytest.approx(0.64 * history.where("Status = 'Driving'").count(), rel=0.02)
+
+
 def test_many_levels_are_numbered_in_order(spark):
     """Codes are the places in code point order; no column per level is made."""
     words = sorted({"".join(chr(c) for c in random.Random(k).choices(range(33, 900), k=4)) for k in range(20_000)})
