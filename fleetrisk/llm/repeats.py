@@ -426,7 +426,7 @@ def _block(key, ids, f1, places, raw, at) -> pa.RecordBatch:
     new = np.ones(len(on), bool)
     new[1:] = (on[1:] != on[:-1] + 1) | (string[1:] != string[:-1])
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(on)) - 1
+    last = np.append(first[1:], len(on))[:len(first)] - 1  # no string may have come up again
     own = string[first]
     columns = (ids[own], f1[own], places[own] & _TAG, begin[own] + on[first] - at[own], begin[own] + on[last] - at[own] + LENGTH)
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in columns], names=["id", "f1", "tag", "begin", "end"])

@@ -91,6 +91,21 @@ def test_a_very_long_text_and_clashing_columns(spark):
     assert got == {1: (len(long), 0, 0), 2: (510, 400, 1), 3: (len(long), len(long), 1), 4: (0, 0, 0), 5: (500, 499, 1)}
 
 
+def test_a_block_without_any_repeat(spark):
+    """Texts that share an anchor but no string of 100 bytes lose nothing; a block of such contexts has no marks."""
+    def words(n):
+        return "".join(rng.choice("bcdfghjklm") for _ in range(n))
+    shared = words(90)
+    rows = [(k, words(70) + shared + words(70)) for k in range(6)] + [(9, words(200))]
+    texts = "".join(x for _, x in rows).encode()
+    starts = np.cumsum([0] + [len(x) for _, x in rows])
+    numbers = np.arange(len(rows))
+    block = repeats._block(numbers * 0, numbers, numbers, numbers << 23, np.frombuffer(texts, np.uint8), starts)
+    assert block.num_rows == 0 and block.schema.names == ["id", "f1", "tag", "begin", "end"]
+    got = repeats.remove_repeats(reachable(spark).createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed) for r in got} == expected(rows) and not any(r.n_removed for r in got)
+
+
 def test_repeated_rows_are_judged_alike(spark):
     text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
     rows = [(7, text), (7, text), (9, text), (None, text), (None, text), (9, "short")]
